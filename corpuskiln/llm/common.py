@@ -80,6 +80,14 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
+def segments(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of equal keys."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return begin, np.append(begin[1:], len(keys))
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo ``n``: the contracts' fold rule (null id: null)."""
     return F.expr(f"pmod(crc32(cast({doc_id} as string)), {n})")

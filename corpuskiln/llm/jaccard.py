@@ -32,140 +32,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import as_long, batch, bucket_of, buckets, by_key, connected, documents, exchange, release, stored, u64
+from .common import as_long, batch, bucket_of, buckets, by_key, connected, documents, exchange, segments, stored, u64
+from .shared import Extract, runs, shared_features
 
 WIDTH = 5
 NUM, DEN = 75, 100  # the least similarity
-FLUSH = 3_000_000  # shingles a task holds before it sends them on
 
-#: kind 0: shingles of classes, for the bucket of the shingle; 1: shared shingles of classes, for the bucket of the class;
-#: 2: a document and its class. ``a``: class ids, ``b``: how many shingles of each, ``v``: shingles.
-_ROWS = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("v", pa.binary())])
-_DDL = "kind byte, bucket int, doc_id long, cls long, n long, a binary, b binary, v binary"
 
+def shingle_features(width: int = WIDTH) -> Extract:
+    """Distinct shingles, set sizes, and a key of each whole set."""
 
-def least_overlap(na: int, nb: int) -> int:
-    """Fewest common shingles with which sets of these sizes link."""
-    return -(-NUM * (na + nb) // (NUM + DEN))
+    def extract(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        low = T.lower_ascii(data)
+        w = T.find_words(low, off)
+        doc, h = T.shingle_sets(*T.shingles(T.range_hashes(low, w.start, w.end), w.first, width))
+        n = np.bincount(doc, minlength=len(off) - 1)
+        cls = np.zeros(len(off) - 1, dtype=np.uint64)
+        full = np.flatnonzero(n)
+        if len(full):
+            at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
+            cls[full] = T.mix64(np.add.reduceat(T.mix64(h), at) + n[full].astype(np.uint64))
+        return doc, h, n, cls
 
-
-def _runs(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-    return cls[first], np.diff(np.append(first, len(cls)))
-
-
-def _blobs(kind: int, where: np.ndarray, cls: np.ndarray, h: np.ndarray) -> Iterator[dict]:
-    """Rows of (class, shingle) pairs by target bucket; within one, by class."""
-    order = np.lexsort((cls, where))
-    where, cls, h = where[order], cls[order], h[order]
-    cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, dtype=np.int64)
-    for lo, hi in zip(cut, np.append(cut[1:], len(where)), strict=True):
-        a, b = _runs(cls[lo:hi])
-        yield {"kind": kind, "bucket": int(where[lo]), "doc_id": None, "cls": None, "n": None, "a": a.tobytes(), "b": b.astype(np.uint32).tobytes(), "v": h[lo:hi].tobytes()}
-
-
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(u64(row["a"]), np.frombuffer(row["b"], dtype=np.uint32)), u64(row["v"])
-
-
-def _emit(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=_ROWS)
-
-
-def shingle_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows of kinds 0 to 2 for every document. Within a task a class counts once, and a shingle that two of the task's
-    classes hold is known as shared at once: only one of its classes goes on to the shingle's bucket."""
-    n_buckets = buckets(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, held, seen = [], [], 0, set()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, c = np.concatenate(hs), np.concatenate(cs)
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            same = np.zeros(len(h), dtype=bool)
-            same[1:] = h[1:] == h[:-1]
-            shared = same.copy()
-            shared[:-1] |= same[1:]
-            yield _emit(list(_blobs(1, bucket_of(c[shared], n_buckets), c[shared], h[shared])))
-            # one class of a shared shingle stands for all; its mark says that the shingle is known as shared
-            mark = np.where(shared & ~same, np.uint64(1), np.uint64(0))
-            yield _emit(list(_blobs(0, bucket_of(h[~same], n_buckets), (c[~same] & ~np.uint64(1)) | mark[~same], h[~same])))
-
-        for b in batches:
-            data, off = T.flat(b.column(1))
-            for lo, hi in T.slices(off):
-                low = T.lower_ascii(data[off[lo] : off[hi]])
-                w = T.find_words(low, off[lo : hi + 1] - off[lo])
-                doc, h = T.shingle_sets(*T.shingles(T.range_hashes(low, w.start, w.end), w.first, width))
-                n = np.bincount(doc, minlength=hi - lo)
-                cls = np.zeros(hi - lo, dtype=np.uint64)
-                full = np.flatnonzero(n)
-                if len(full):
-                    at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                    cls[full] = T.mix64(np.add.reduceat(T.mix64(h), at) + n[full].astype(np.uint64))
-                cls &= ~np.uint64(1)  # the low bit is kept free for the mark
-                ids = b.column(0).slice(lo, hi - lo)
-                yield batch(_ROWS, kind=np.full(hi - lo, 2, dtype=np.int8), bucket=bucket_of(T.mix64(cls + np.arange(hi - lo, dtype=np.uint64)), n_buckets).astype(np.int32), doc_id=ids, cls=as_long(cls), n=n, a=[None] * (hi - lo), b=[None] * (hi - lo), v=[None] * (hi - lo))
-                new = np.array([x != 0 and x not in seen and not seen.add(x) for x in cls.tolist()], dtype=bool)
-                take = new[doc]
-                if take.any():
-                    hs.append(h[take])
-                    cs.append(cls[doc[take]])
-                    held += int(take.sum())
-                if held >= FLUSH:
-                    yield from flush()
-                    hs, cs, held = [], [], 0
-                    seen = set()
-        if held:
-            yield from flush()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)
-
-
-def _shared_shingles(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """In the bucket of a shingle: send shingles of several classes to the buckets of their classes."""
-    for _, rows in by_key(batches, "bucket"):
-        pass_on = [r for r in rows if r["kind"]]
-        for lo in range(0, len(pass_on), 5000):
-            yield _emit(pass_on[lo : lo + 5000])
-        parts = [_pairs(r) for r in rows if not r["kind"]]
-        if not parts:
-            continue
-        c, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        known, c = (c & np.uint64(1)).astype(bool), c & ~np.uint64(1)
-        order = np.lexsort((c, h))
-        h, c, known = h[order], c[order], known[order]
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        which = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-        other = np.append(False, (c[1:] != c[:-1]) & (h[1:] == h[:-1]))
-        shared = (np.add.reduceat(other.astype(np.int64), start) > 0) | np.logical_or.reduceat(known, start)
-        good = shared[which]
-        h, c = h[good], c[good]
-        once = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, dtype=bool)
-        yield _emit(list(_blobs(1, bucket_of(c[once], n_buckets), c[once], h[once])))
-
-
-def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the bucket of a class: its shared shingles as one row of kind 1 (n: how many)."""
-    for _, rows in by_key(batches, "bucket"):
-        docs = [r for r in rows if r["kind"] == 2]
-        for lo in range(0, len(docs), 5000):
-            yield _emit(docs[lo : lo + 5000])
-        parts = [_pairs(r) for r in rows if r["kind"] == 1]
-        if not parts:
-            continue
-        c, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((h, c))
-        c, h = c[order], h[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
-        c, h = c[once], h[once]
-        ids, size = _runs(c)
-        at = np.concatenate([[0], np.cumsum(size)])
-        out = [{"kind": 1, "bucket": 0, "doc_id": None, "cls": int(as_long(ids[i : i + 1])[0]), "n": int(size[i]), "a": None, "b": None, "v": h[at[i] : at[i + 1]].tobytes()} for i in range(len(ids))]
-        for lo in range(0, len(out), 2000):
-            yield _emit(out[lo : lo + 2000])
+    return extract
 
 
 # ---- rarest shingles first ------------------------------------------------------------------------------------------
@@ -177,8 +66,7 @@ _LISTS_DDL = "bucket int, cls binary, n binary, h binary, f binary"
 def _deal(where: np.ndarray, cls: np.ndarray, n: np.ndarray, h: np.ndarray, f: np.ndarray | None = None) -> pa.RecordBatch:
     order = np.argsort(where, kind="stable")
     where, cols = where[order], [None if x is None else x[order] for x in (cls, n, h, f)]
-    cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, dtype=np.int64)
-    ends = np.append(cut[1:], len(where))
+    cut, ends = segments(where)
     blobs = [[None if x is None else x[lo:hi].tobytes() for lo, hi in zip(cut, ends, strict=True)] for x in cols]
     return batch(_LISTS, bucket=where[cut].astype(np.int32), cls=blobs[0], n=blobs[1], h=blobs[2], f=blobs[3])
 
@@ -214,7 +102,7 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
             cls, n, h, f = _take(rows, "cls", "n", "h", "f")
             order = np.lexsort((h, f, cls))
             cls, n, h = cls[order], n[order].astype(np.int64), h[order]
-            ids, size = _runs(cls)
+            ids, size = runs(cls)
             first = np.repeat(np.cumsum(size) - size, size)
             own = np.repeat(size, size)
             # shingles that no other class has come first in the order and lead nowhere
@@ -369,14 +257,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every document."""
     spark = docs.sparkSession
     n = buckets(spark)
-    dealt = exchange(shingle_classes(docs, width), n)
-    back = exchange(dealt.mapInArrow(lambda b: _shared_shingles(b, n), _DDL), n)
-    rows = stored(back.mapInArrow(_class_sets, _DDL))
-    del dealt, back
-    release(spark)
-    by_doc = rows.filter("kind = 2").select("doc_id", "cls", F.col("n").alias("n_shingles"))
+    by_doc, sets = shared_features(docs, shingle_features(width))
+    by_doc = by_doc.withColumnRenamed("n", "n_shingles")
     size = by_doc.groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("class_id"))
-    sets = rows.filter("kind = 1").select("cls", F.col("n").alias("m"), "v").join(size, "cls").filter(f"{DEN} * m >= {NUM} * n_shingles").select("cls", "n_shingles", "v")
+    sets = sets.join(size, "cls").filter(f"{DEN} * m >= {NUM} * n_shingles").select("cls", "n_shingles", "v")
     sets = stored(sets)
     lists = stored(prefixes(sets, n))
     first = stored(_links(_routes(lists, None, n, n), sets, n))

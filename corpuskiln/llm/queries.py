@@ -9,6 +9,7 @@ _WHERE = {
     "op1_string_kernel_langid": ("langid", "op1_string_kernel_langid"),
     "op2_spf_packing": ("packing", "op2_pack"),
     "op5_divide_skip_jaccard": ("jaccard", "op5_divide_skip_jaccard"),
+    "op6_bucket_pointer_dedup": ("suffixes", "op6_bucket_pointer_dedup"),
     "op9_crf_pii": ("pii", "op9_crf_pii"),
     "op10_quality_ledger": ("quality", "op10_quality_ledger"),
 }
