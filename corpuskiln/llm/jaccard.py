@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import as_long, batch, bucket_of, buckets, by_key, connected, documents, exchange, segments, stored, u64
+from .common import as_long, batch, bucket_of, buckets, by_key, connected, documents, exchange, release, segments, stored, u64
 from .shared import Extract, runs, shared_features
 
 WIDTH = 5
@@ -263,7 +263,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sets = sets.join(size, "cls").filter(f"{DEN} * m >= {NUM} * n_shingles").select("cls", "n_shingles", "v")
     sets = stored(sets)
     lists = stored(prefixes(sets, n))
+    release(spark)
     first = stored(_links(_routes(lists, None, n, n), sets, n))
+    release(spark)
     labels = connected(first, spark)
     second = _links(_routes(lists, labels, n, n), sets, n)
     links = first.unionByName(second)
