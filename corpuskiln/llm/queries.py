@@ -8,6 +8,7 @@ from importlib import import_module
 _WHERE = {
     "op1_string_kernel_langid": ("langid", "op1_string_kernel_langid"),
     "op2_spf_packing": ("packing", "op2_pack"),
+    "op4_projection_passes": ("neighbours", "op4_projection_passes"),
     "op5_divide_skip_jaccard": ("jaccard", "op5_divide_skip_jaccard"),
     "op6_bucket_pointer_dedup": ("suffixes", "op6_bucket_pointer_dedup"),
     "op9_crf_pii": ("pii", "op9_crf_pii"),
