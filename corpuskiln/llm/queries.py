@@ -11,6 +11,7 @@ _WHERE = {
     "op4_projection_passes": ("neighbours", "op4_projection_passes"),
     "op5_divide_skip_jaccard": ("jaccard", "op5_divide_skip_jaccard"),
     "op6_bucket_pointer_dedup": ("suffixes", "op6_bucket_pointer_dedup"),
+    "op7_hashed_maxent": ("maxent", "op7_hashed_maxent"),
     "op9_crf_pii": ("pii", "op9_crf_pii"),
     "op10_quality_ledger": ("quality", "op10_quality_ledger"),
 }
