@@ -8,10 +8,12 @@ from importlib import import_module
 _WHERE = {
     "op1_string_kernel_langid": ("langid", "op1_string_kernel_langid"),
     "op2_spf_packing": ("packing", "op2_pack"),
+    "op3_collinear_chains": ("chaining", "op3_collinear_chains"),
     "op4_projection_passes": ("neighbours", "op4_projection_passes"),
     "op5_divide_skip_jaccard": ("jaccard", "op5_divide_skip_jaccard"),
     "op6_bucket_pointer_dedup": ("suffixes", "op6_bucket_pointer_dedup"),
     "op7_hashed_maxent": ("maxent", "op7_hashed_maxent"),
+    "op8_viterbi_pieces": ("pieces", "op8_viterbi_pieces"),
     "op9_crf_pii": ("pii", "op9_crf_pii"),
     "op10_quality_ledger": ("quality", "op10_quality_ledger"),
 }
