@@ -229,10 +229,10 @@ def removed_spans(size: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
     return lo[new], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             rows, out = b.slice(lo, 500).to_pylist(), []
@@ -247,12 +247,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         a, e = removed_spans(len(raw), np.concatenate([np.frombuffer(m["start"], dtype=np.int64) for m in r["marks"]]), np.concatenate([np.frombuffer(m["n"], dtype=np.uint8) for m in r["marks"]]))
                         spans = len(a)
                         kept = b"".join(raw[x:y] for x, y in zip([0, *e.tolist()], [*a.tolist(), len(raw)], strict=True))
-                out.append({"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept})
+                out.append({"doc_id": r["doc_id"], "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept.decode("utf-8", "ignore") if texts else None})
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
 
 
-def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the kept bytes where asked for."""
+def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the kept text where asked for; where a cut
+    goes through a character, the text lacks the character."""
     spark = docs.sparkSession
     n = buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -269,8 +270,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     own = wanted.select("doc_id", "cls", F.col("doc_id").alias("least")).join(marks, "doc_id")
     plan = own.unionByName(copies, allowMissingColumns=True)
     rows = docs.join(plan, "doc_id", "left").select("doc_id", "text", "cls", "least", "marks")
-    out = rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if keep_bytes else out.drop("kept")
+    out = rows.mapInArrow(lambda b: _cut(b, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return out if texts else out.drop("kept")
 
 
 def op6_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
