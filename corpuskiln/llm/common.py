@@ -18,8 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Number of hash buckets of an exchange: follows the session's shuffle partitions, which follow the input."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    """Number of hash buckets of an exchange: four to each of the session's shuffle partitions, which follow the input.
+
+    A task takes one bucket after the other, so its Python memory is that of a bucket."""
+    return 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -40,15 +42,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more (it works in the background)."""
-    for _ in range(2):
+    for _ in range(4):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(0.5)
 
 
 def exchange(df: DataFrame, n: int, key: str = "bucket", *then: str) -> DataFrame:
-    """Deal rows out by ``key`` and let each task see one bucket after the other."""
-    return df.repartition(n, key).sortWithinPartitions(key, *then)
+    """Deal rows of ``n`` buckets out by ``key`` and let each task see one bucket after the other."""
+    return df.repartition(max(1, n // 4), key).sortWithinPartitions(key, *then)
 
 
 def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:

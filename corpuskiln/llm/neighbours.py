@@ -165,12 +165,12 @@ def _seams(window: int):
 def pass_links(distinct: DataFrame, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
     """Spanning links (a, b) between classes that the passes verify."""
     n = distinct.count() * passes
-    parts = max(1, min(buckets(distinct.sparkSession), n // (16 * window)))
+    parts = max(1, min(buckets(distinct.sparkSession) // 4, n // (16 * window)))
     keyed = distinct.select("cls", "dim", "vec").mapInArrow(_keys(passes), "pass int, dim int, key long, cls long, vec binary")
     order = ["pass", "dim", "key", "cls"]
     found = stored(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(window), _LINKS_DDL))
     # the last rows of one range and the first of the next have the same ``side``
-    seams = exchange(found.filter("a is null"), parts, "side", "pass", "dim", "place").mapInArrow(_seams(window), _LINKS_DDL)
+    seams = exchange(found.filter("a is null"), 4 * parts, "side", "pass", "dim", "place").mapInArrow(_seams(window), _LINKS_DDL)
     return found.filter("a is not null").select("a", "b").unionByName(seams.select("a", "b"))
 
 

@@ -188,7 +188,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, with_ids: bool = False, paths:
     """One row per piece: the columns of ``pieces`` with sequence_id and offset."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, max_len, with_ids, paths))  # texts are tokenised once
-    groups = 4 * buckets(spark)
+    groups = buckets(spark)
     cut = cut.withColumn("g", F.expr(f"pmod(xxhash64(doc_id, start), {groups})").cast("int"))
     counts = stored(cut.groupBy("length", "g").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_len rows

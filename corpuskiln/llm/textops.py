@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SLICE_DOCS = 4096
 
 #: The separators of the word rule ``[^\x20\x09-\x0D]+``; all are ASCII, so the rule holds on UTF-8 bytes as well.
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -61,12 +62,13 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(off: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole documents of about ``most`` bytes each; a longer document comes alone."""
+    """Ranges of whole documents of about ``most`` bytes each, SLICE_DOCS at most; a longer document comes alone."""
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + SLICE_DOCS)
+        yield lo, hi
+        lo = hi
 
 
 @dataclass
