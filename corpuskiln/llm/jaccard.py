@@ -8,9 +8,10 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two do
    than three quarters of its set shared can link with nothing and is dropped, so all later work is on the rest.
 3. Rarest shingles first (frequency among the remaining classes, then hash: one total order), linked classes share one of
    their first ``n - ceil(0.75 n) + 1`` shingles. For each of those shingles its inverted list of classes is formed.
-4. Along every list neighbours in size order become candidates; classes that turn out linked are joined to components.
-5. Lists that still hold several components send each class to the index blocks of the others, so that no link
-   between components is missed; within a component nothing needs to be compared any more.
+4. Every class of a list is searched for in a block that indexes the least class of the list (a hub, so that near copies
+   of one text need few comparisons); classes found to be linked are joined to components.
+5. Lists that still hold several components connect their classes to candidate clusters, which are searched whole, in
+   blocks of bounded size, so that no link between components is missed; inside a component nothing is compared.
 
 Candidates are searched in index blocks: each block holds inverted lists of its classes; a query merges its short lists
 with a heap, probes the long lists by binary search (DivideSkip), keeps classes that reach the required number of
@@ -23,6 +24,7 @@ is the one shingle; repeated rows and ties fall into one class; an empty table g
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -116,160 +118,153 @@ def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
 
 # ---- search in blocks ----------------------------------------------------------------------------------------------
 
-_ROUTES = pa.schema([("cls", pa.int64()), ("block", pa.int32()), ("query", pa.bool_())])
+BLOCK = 2048  # classes of a block
 
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def block_of(cls: np.ndarray, n_blocks: int) -> np.ndarray:
-    return bucket_of(T.mix64(cls ^ np.uint64(0xA5A5A5A5)), n_blocks)
 
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, hub): every class of an inverted list with the least one of the list, where their sizes allow a link."""
+    for _, rows in by_key(batches, "bucket"):
+        cls, n, h = _take(rows, "cls", "n", "h")
+        order = np.lexsort((cls, n, h))
+        cls, n, h = cls[order], n[order].astype(np.int64), h[order]
+        lo, hi = segments(h)
+        hub, size = np.repeat(cls[lo], hi - lo), np.repeat(n[lo], hi - lo)
+        m = (cls != hub) & (DEN * size >= NUM * n)
+        if m.any():
+            a, b = np.unique(np.stack([cls[m], hub[m]]), axis=1)
+            yield batch(_PAIRS, a=as_long(a), b=as_long(b))
 
-def _routes(lists: DataFrame, labels: DataFrame | None, n_blocks: int, n_buckets: int) -> DataFrame:
-    """(class, block, query): where a class is to be searched for, and which classes a block must index.
 
-    Without labels: each list's neighbours in order of size. With labels: in lists of several components, every class
-    goes to the blocks of the larger or equal-sized classes of other components (of the same list, within reach)."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            cls, h = _take([r], "cls", "h")
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(as_long(cls))], names=["h", "cls"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches, "bucket"):
-            cls, n, h = _take(rows, "cls", "n", "h")
-            order = np.lexsort((cls, n, h))
-            cls, n, h = cls[order], n[order].astype(np.int64), h[order]
-            m = np.flatnonzero((h[1:] == h[:-1]) & (DEN * n[:-1] >= NUM * n[1:]) & (cls[1:] != cls[:-1]))
-            yield from _route_rows(cls[m], cls[m + 1])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                cls, n, root = np.array(r["cls"], dtype=np.int64).view(np.uint64), np.array(r["n"], dtype=np.int64), np.array(r["root"], dtype=np.int64)
-                order = np.lexsort((cls, n))
-                cls, n, root = cls[order], n[order], root[order]
-                block = block_of(cls, n_blocks)
-                for x in np.unique(root):
-                    mine, rest = np.flatnonzero(root == x), np.flatnonzero(root != x)
-                    for i in mine:
-                        to = rest[(rest > i) & (DEN * n[i] >= NUM * n[rest])]
-                        if len(to):
-                            at = np.unique(block[to])
-                            yield batch(_ROUTES, cls=np.full(len(at), as_long(cls[i : i + 1])[0]), block=at.astype(np.int32), query=np.ones(len(at), dtype=bool))
-                            yield batch(_ROUTES, cls=as_long(cls[to]), block=block[to].astype(np.int32), query=np.zeros(len(to), dtype=bool))
-
-    def _route_rows(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-            block = block_of(b, n_blocks).astype(np.int32)
-            yield batch(_ROUTES, cls=as_long(a), block=block, query=np.ones(len(a), dtype=bool))
-            yield batch(_ROUTES, cls=as_long(b), block=block, query=np.zeros(len(b), dtype=bool))
-
-    ddl = "cls long, block int, query boolean"
-    if labels is None:
-        return exchange(lists, n_buckets).mapInArrow(chain, ddl).distinct()
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                cls, n, h = _take([r], "cls", "n", "h")
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(as_long(cls)), pa.array(n.astype(np.int64))], names=["h", "cls", "n"])
 
-    flat = lists.mapInArrow(entries, "h long, cls long, n long")
-    flat = flat.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = flat.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-    # a list is the classes that share one rare shingle; equal lists (of one passage) are searched once
-    whole = flat.join(mixed, "h").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("cls", "n", "root"))).alias("l")).select("l").distinct()
-    return whole.select(F.col("l.cls").alias("cls"), F.col("l.n").alias("n"), F.col("l.root").alias("root")).mapInArrow(across, ddl).distinct()
+HEAP = 2048  # occurrences up to which the short lists are merged by a heap; more are merged by sorting
 
 
-def divide_skip(query: np.ndarray, need: int, lists: dict[int, list[int]]) -> dict[int, int]:
-    """Members that occur on at least ``need`` of the query's lists, with how often: heap merge of the short lists,
-    binary probes of the long ones."""
-    import bisect
-
+def divide_skip(query: np.ndarray, need: int, lists: dict[int, np.ndarray], wanted=None) -> tuple[np.ndarray, np.ndarray]:
+    """Members that occur on at least ``need`` of the query's lists, and how often: the short lists are merged (both ways
+    of merging give the same counts), candidates of the merge are probed in the long lists by binary search, and leave
+    as soon as they cannot reach the number any more. ``wanted`` drops candidates after the merge."""
+    none = np.zeros(0, dtype=np.int64)
     own = sorted((lists[h] for h in query.tolist() if h in lists), key=len)
     if len(own) < need:
-        return {}
-    n_long = min(need - 1, int(need / (0.01 * math.log2(len(own[-1]) + 1) * len(own) + 1)))
+        return none, none
+    n_long = min(need - 1, int(need / (0.01 * math.log2(len(own[-1]) + 1) + 1)))
     short, long_ = own[: len(own) - n_long], own[len(own) - n_long :]
-    out, at, count = {}, -1, 0
-
-    def settle(x: int, c: int) -> None:
-        if c >= need - n_long and x >= 0:
-            for left, one in enumerate(reversed(long_)):
-                if c + n_long - left < need:
-                    return
-                i = bisect.bisect_left(one, x)
+    if sum(map(len, short)) <= HEAP:
+        runs_ = [(x, sum(1 for _ in g)) for x, g in itertools.groupby(heapq.merge(*(x.tolist() for x in short)))]
+        cand, count = np.array([x for x, _ in runs_], dtype=np.int64), np.array([c for _, c in runs_], dtype=np.int64)
+    else:
+        cand, count = np.unique(np.concatenate(short), return_counts=True)
+    good = count >= need - n_long
+    cand, count = cand[good], count[good]
+    if wanted is not None and len(cand):
+        good = wanted(cand)
+        cand, count = cand[good], count[good]
+    for left, one in enumerate(long_):
+        if len(cand) <= 4:
+            break
+        good = count + (n_long - left) >= need
+        cand, count = cand[good], count[good]
+        i = np.searchsorted(one, cand)
+        count = count + ((i < len(one)) & (one[np.minimum(i, len(one) - 1)] == cand))
+    else:
+        left = n_long
+    if len(cand) and left < n_long:
+        for k, x in enumerate(cand.tolist()):
+            c = int(count[k])
+            for at in range(left, n_long):
+                if c + n_long - at < need:
+                    break
+                one = long_[at]
+                i = int(one.searchsorted(x))
                 c += i < len(one) and one[i] == x
-            if c >= need:
-                out[x] = c
-
-    for x in heapq.merge(*short):
-        if x == at:
-            count += 1
-        else:
-            settle(at, count)
-            at, count = x, 1
-    settle(at, count)
-    return out
+            count[k] = c
+    good = count >= need
+    return cand[good], count[good]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In a block: index the sets, search the queries, give spanning links of equal components' rest."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """In a block of classes (``block``; cls, n_shingles, v, query, indexed, root): links that join different components.
+
+    Where all classes are both queries and indexed, those of the most frequent component need not be searched for."""
     for _, rows in by_key(batches, "block"):
-        index: list[dict] = []
-        seen: set[int] = set()
+        seen: dict[int, dict] = {}
         for r in rows:
-            if not r["query"] and r["cls"] not in seen:
-                seen.add(r["cls"])
-                index.append(r)
-        index.sort(key=lambda r: (r["n_shingles"], r["cls"]))
-        place: dict[int, list[int]] = {}
-        for i, r in enumerate(index):
-            for h in u64(r["v"]).tolist():
-                place.setdefault(h, []).append(i)
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+            old = seen.setdefault(r["cls"], r)
+            old["query"] |= r["query"]
+            old["indexed"] |= r["indexed"]
+        members = list(seen.values())
+        held: dict[int, list[int]] = {}
+        for i, r in enumerate(members):
+            if r["indexed"]:
+                for h in u64(r["v"]).tolist():
+                    held.setdefault(h, []).append(i)
+        lists = {h: np.array(x, dtype=np.int64) for h, x in held.items()}
+        del held
+        _, comp, counts = np.unique(np.array([r["root"] for r in members], dtype=np.int64), return_inverse=True, return_counts=True)
+        size = np.array([r["n_shingles"] for r in members], dtype=np.int64)
+        all_ = all(r["query"] and r["indexed"] for r in members)
+        spare = comp == counts.argmax() if all_ else np.zeros(len(members), dtype=bool)
         out = []
-        for r in rows:
-            if not r["query"]:
+        for i, r in enumerate(members):
+            if not r["query"] or spare[i]:
                 continue
             na = r["n_shingles"]
-            for i, c in divide_skip(u64(r["v"]), -(-NUM * na // DEN), place).items():
-                s = index[i]
-                if s["cls"] != r["cls"] and DEN * c >= NUM * (na + s["n_shingles"] - c):
-                    x, y = root(r["cls"]), root(s["cls"])
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        out.append((r["cls"], s["cls"]))
-        yield batch(schema, a=[x for x, _ in out], b=[y for _, y in out])
-
-
-def _links(routes: DataFrame, sets: DataFrame, n_blocks: int) -> DataFrame:
-    rows = routes.join(sets.select("cls", "n_shingles", "v"), "cls")
-    return exchange(rows, n_blocks, "block").mapInArrow(_search, "a long, b long")
+            near = lambda c, i=i, na=na: (comp[c] != comp[i]) & (DEN * size[c] >= NUM * na) & (DEN * na >= NUM * size[c])
+            cand, common = divide_skip(u64(r["v"]), -(-NUM * na // DEN), lists, near)
+            for j in cand[DEN * common >= NUM * (na + size[cand] - common)].tolist():
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    out.append((r["cls"], members[j]["cls"]))
+        yield batch(_PAIRS, a=[x for x, _ in out], b=[y for _, y in out])
+
+
+def _hub_links(lists: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Links of classes with the hubs of their lists: a block indexes hubs, the other classes are its queries."""
+    pairs = exchange(lists, n).mapInArrow(_hubs, "a long, b long").distinct()
+    block = F.expr(f"cast(pmod(xxhash64(b), {n}) as int)").alias("block")
+    rows = pairs.select(F.col("a").alias("cls"), block, F.lit(True).alias("query"), F.lit(False).alias("indexed")).unionByName(pairs.select(F.col("b").alias("cls"), block, F.lit(False).alias("query"), F.lit(True).alias("indexed"))).distinct()
+    rows = rows.join(sets, "cls").withColumn("root", F.col("cls"))
+    return exchange(rows, n, "block").mapInArrow(_search, "a long, b long")
+
+
+def _cross_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Links between components: lists that hold several components connect their classes to candidate clusters; each
+    cluster is searched in blocks of bounded size, every block against every other of its cluster."""
+    spark = lists.sparkSession
+    flat = lists.mapInArrow(_entries, "h long, cls long").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = flat.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cls").alias("b")).filter("lo <> hi").select("h", "b")
+    edges = stored(flat.join(mixed, "h").select(F.col("cls").alias("a"), "b", "root").distinct())
+    cluster = connected(edges.filter("a <> b"), spark).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
+    members = edges.select(F.col("a").alias("cls"), "root").distinct().join(cluster, "cls")
+    size = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    part = members.join(size, "cluster").withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = part.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "cls", "root", F.lit(True).alias("query"), F.lit(True).alias("indexed"))
+    return exchange(rows.join(sets, "cls"), n, "block").mapInArrow(_search, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every document."""
     spark = docs.sparkSession
     n = buckets(spark)
-    by_doc, sets = shared_features(docs, shingle_features(width))
+    by_doc, sets = shared_features(docs, shingle_features(width), lambda m, n: DEN * m >= NUM * n)
     by_doc = by_doc.withColumnRenamed("n", "n_shingles")
     size = by_doc.groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("class_id"))
-    sets = sets.join(size, "cls").filter(f"{DEN} * m >= {NUM} * n_shingles").select("cls", "n_shingles", "v")
-    sets = stored(sets)
+    sets = stored(sets.join(size, "cls").select("cls", "n_shingles", "v"))
     lists = stored(prefixes(sets, n))
     release(spark)
-    first = stored(_links(_routes(lists, None, n, n), sets, n))
-    release(spark)
+    first = stored(_hub_links(lists, sets, n))
     labels = connected(first, spark)
-    second = _links(_routes(lists, labels, n, n), sets, n)
-    links = first.unionByName(second)
-    roots = connected(links, spark)
+    second = stored(_cross_links(lists, labels, sets, n))
+    release(spark)
+    roots = connected(first.unionByName(second), spark)
     comp = size.join(roots, size.cls == roots.node, "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))
     least = comp.groupBy("root").agg(F.min("class_id").alias("component_id"))
     comp = comp.join(least, "root").select("cls", "class_id", "component_id")

@@ -3,7 +3,9 @@
 Documents of one key (equal texts, equal sets) form a class, so that copies count once whatever their number. Features
 (64-bit hashes) of classes are dealt out by hash, and only features of two or more classes come back to their classes.
 Every task first combines its own classes, so a feature that a third of all documents hold reaches its bucket once from
-each task. Payloads travel as packed arrays: few rows, and no row for each feature.
+each part of a task. Payloads travel as packed arrays: few rows, no row for each feature, and six bytes for one (its upper
+48 bits and the number of its class within the part). A feature that only seems shared, because the upper bits of two
+agree, is one feature too many for a class and is decided by what the caller compares.
 """
 
 from __future__ import annotations
@@ -12,85 +14,100 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import as_long, batch, bucket_of, buckets, by_key, exchange, release, segments, stored, u64
 
-FLUSH = 3_000_000  # features a task holds before it sends them on
+FLUSH = 2_000_000  # features a task holds before it sends them on
+MAX_CLASSES = 1 << 15  # classes a task holds
 
 #: For a slice of documents: distinct (document, feature) ordered by both, a number of each document, and its class key
 #: (0: no class).
 Extract = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-#: kind 0: features of classes, for the bucket of the feature; 1: shared features of classes, for the bucket of the class;
-#: 2: a document and its class. ``a``: class ids, ``b``: how many features of each; ``v``: features.
-_ROWS = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("v", pa.binary())])
-_DDL = "kind byte, bucket int, doc_id long, cls long, n long, a binary, b binary, v binary"
+#: kind 0: features for their bucket; 1: shared features for the bucket of the part they come from; 2: a document and its
+#: class; 3: the classes of a part (``v``) with their numbers of features (``hi``). ``at``: class numbers within the part
+#: (bit 15: the part holds the feature more than once), ``hi`` and ``lo``: bits 63..48 and 47..16 of features.
+_ROWS = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("part", pa.int64()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("at", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary()), ("v", pa.binary())])
+_DDL = "kind byte, bucket int, part long, doc_id long, cls long, n long, at binary, hi binary, lo binary, v binary"
+_MARK = np.uint16(1 << 15)
 
 
-def runs(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of a sorted array and how often each occurs."""
-    lo, hi = segments(cls)
-    return cls[lo], hi - lo
+def _row(kind: int, bucket: int, part: int | None = None, **cols) -> dict:
+    return {**{f: None for f in _ROWS.names}, "kind": kind, "bucket": bucket, "part": part, **cols}
 
 
-def _blobs(kind: int, where: np.ndarray, cls: np.ndarray, h: np.ndarray) -> Iterator[dict]:
-    """Rows of (class, feature) pairs by target bucket; within one, by class."""
-    order = np.lexsort((cls, where))
-    where, cls, h = where[order], cls[order], h[order]
-    for lo, hi in zip(*segments(where), strict=True):
-        a, b = runs(cls[lo:hi])
-        yield {"kind": kind, "bucket": int(where[lo]), "doc_id": None, "cls": None, "n": None, "a": a.tobytes(), "b": b.astype(np.uint32).tobytes(), "v": h[lo:hi].tobytes()}
+def _packed(kind: int, bucket: int, part: int, at: np.ndarray, h: np.ndarray) -> dict:
+    return _row(kind, bucket, part, at=at.astype(np.uint16).tobytes(), hi=(h >> np.uint64(48)).astype(np.uint16).tobytes(), lo=(h >> np.uint64(16)).astype(np.uint32).tobytes())
 
 
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(u64(row["a"]), np.frombuffer(row["b"], dtype=np.uint32)), u64(row["v"])
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    hi, lo = np.frombuffer(row["hi"], dtype=np.uint16), np.frombuffer(row["lo"], dtype=np.uint32)
+    return np.frombuffer(row["at"], dtype=np.uint16), (hi.astype(np.uint64) << np.uint64(48)) | (lo.astype(np.uint64) << np.uint64(16))
 
 
 def _emit(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_ROWS)
 
 
-def _class_features(docs: DataFrame, extract: Extract) -> DataFrame:
-    """Rows of kinds 0 to 2 for every document. Within a task a class counts once, and a feature that two of the task's
-    classes hold is known as shared at once: only one of its classes goes on to the feature's bucket."""
-    n_buckets = buckets(docs.sparkSession)
+def runs(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a sorted array and how often each occurs."""
+    lo, hi = segments(cls)
+    return cls[lo], hi - lo
+
+
+def _class_features(docs: DataFrame, extract: Extract, n_buckets: int) -> DataFrame:
+    """Rows of every kind for all documents. Within a part of a task a class counts once, and a feature that two of the
+    part's classes hold is known as shared at once: only one of them goes on to the feature's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, held, seen = [], [], 0, set()
+        hs, at, cs, ns, held, seen = [], [], [], [], 0, {}
+        task, parts = TaskContext.get().partitionId(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, c = np.concatenate(hs), np.concatenate(cs)
+            part = (task << 24) + parts
+            home = part % n_buckets
+            h, c = np.concatenate(hs), np.concatenate(at)
             order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
+            h, c = h[order] & ~np.uint64(0xFFFF), c[order]
             same = np.zeros(len(h), dtype=bool)
             same[1:] = h[1:] == h[:-1]
             shared = same.copy()
             shared[:-1] |= same[1:]
-            yield _emit(list(_blobs(1, bucket_of(c[shared], n_buckets), c[shared], h[shared])))
-            # one class of a shared feature stands for all; its mark says that the feature is known as shared
-            mark = np.where(shared & ~same, np.uint64(1), np.uint64(0))
-            yield _emit(list(_blobs(0, bucket_of(h[~same], n_buckets), (c[~same] & ~np.uint64(1)) | mark[~same], h[~same])))
+            yield _emit([_row(3, home, part, v=np.array(cs, dtype=np.uint64).tobytes(), hi=np.array(ns, dtype=np.int64).tobytes()), _packed(1, home, part, c[shared], h[shared])])
+            c = c | np.where(shared, _MARK, np.uint16(0))
+            h, c = h[~same], c[~same]
+            where = bucket_of(h, n_buckets)
+            yield _emit([_packed(0, int(where[x]), part, c[x:y], h[x:y]) for x, y in zip(*segments(where), strict=True)])
 
         for b in batches:
             data, off = T.flat(b.column(1))
             for lo, hi in T.slices(off):
                 doc, h, n, cls = extract(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                cls = cls & ~np.uint64(1)  # the low bit is kept free for the mark
                 ids = b.column(0).slice(lo, hi - lo)
-                yield batch(_ROWS, kind=np.full(hi - lo, 2, dtype=np.int8), bucket=bucket_of(T.mix64(cls + np.arange(hi - lo, dtype=np.uint64)), n_buckets).astype(np.int32), doc_id=ids, cls=as_long(cls), n=n, a=[None] * (hi - lo), b=[None] * (hi - lo), v=[None] * (hi - lo))
-                new = np.array([x != 0 and x not in seen and not seen.add(x) for x in cls.tolist()], dtype=bool)
+                home = T.mix64(cls + np.arange(hi - lo, dtype=np.uint64))
+                yield batch(_ROWS, kind=np.full(hi - lo, 2, dtype=np.int8), bucket=bucket_of(home, n_buckets).astype(np.int32), doc_id=ids, cls=as_long(cls), n=n, **{k: [None] * (hi - lo) for k in ("part", "at", "hi", "lo", "v")})
+                number = np.zeros(hi - lo, dtype=np.uint16)
+                new = np.zeros(hi - lo, dtype=bool)
+                for i, (x, size) in enumerate(zip(cls.tolist(), n.tolist(), strict=True)):
+                    if x and x not in seen:
+                        seen[x] = number[i] = len(cs)
+                        new[i] = True
+                        cs.append(x)
+                        ns.append(size)
                 take = new[doc]
                 if take.any():
                     hs.append(h[take])
-                    cs.append(cls[doc[take]])
+                    at.append(number[doc[take]])
                     held += int(take.sum())
-                if held >= FLUSH:
-                    yield from flush()
-                    hs, cs, held = [], [], 0
-                    seen = set()
+                if held >= FLUSH or len(cs) >= MAX_CLASSES // 2:
+                    if held:
+                        yield from flush()
+                    hs, at, cs, ns, held, seen = [], [], [], [], 0, {}
+                    parts += 1
         if held:
             yield from flush()
 
@@ -98,55 +115,74 @@ def _class_features(docs: DataFrame, extract: Extract) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """In the bucket of a feature: send features of several classes to the buckets of their classes."""
+    """In the bucket of a feature: send features of several parts, or of several classes of one, back to their parts.
+
+    A class that several parts hold makes its features look shared; callers see them as features of one class."""
     for _, rows in by_key(batches, "bucket"):
-        pass_on = [r for r in rows if r["kind"]]
-        for lo in range(0, len(pass_on), 5000):
-            yield _emit(pass_on[lo : lo + 5000])
-        parts = [_pairs(r) for r in rows if not r["kind"]]
-        if not parts:
+        passed = [r for r in rows if r["kind"]]
+        for lo in range(0, len(passed), 5000):
+            yield _emit(passed[lo : lo + 5000])
+        rows = [r for r in rows if not r["kind"]]
+        if not rows:
             continue
-        c, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        known, c = (c & np.uint64(1)).astype(bool), c & ~np.uint64(1)
-        order = np.lexsort((c, h))
-        h, c, known = h[order], c[order], known[order]
-        start, stop = segments(h)
-        which = np.repeat(np.arange(len(start)), stop - start)
-        other = np.append(False, (c[1:] != c[:-1]) & (h[1:] == h[:-1]))
-        shared = (np.add.reduceat(other.astype(np.int64), start) > 0) | np.logical_or.reduceat(known, start)
-        good = shared[which]
-        h, c = h[good], c[good]
-        once = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, dtype=bool)
-        yield _emit(list(_blobs(1, bucket_of(c[once], n_buckets), c[once], h[once])))
-
-
-def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the bucket of a class: its shared features as one row of kind 1 (n: how many)."""
+        part = np.repeat(np.arange(len(rows)), [len(r["at"]) // 2 for r in rows])
+        h = np.concatenate([_unpack(r)[1] for r in rows])
+        mark = np.concatenate([np.frombuffer(r["at"], dtype=np.uint16) & _MARK for r in rows]) > 0
+        order = np.argsort(h, kind="stable")
+        lo, hi = segments(h[order])
+        shared = np.zeros(len(h), dtype=bool)
+        shared[order] = np.repeat((hi - lo > 1) | np.logical_or.reduceat(mark[order], lo), hi - lo)
+        del order
+        shared &= ~mark  # a part already knows of its marked ones
+        first = np.searchsorted(part, np.arange(len(rows) + 1))
+        out = []
+        for i, r in enumerate(rows):
+            x, y = first[i], first[i + 1]
+            m = shared[x:y]
+            if m.any():
+                out.append(_packed(1, r["part"] % n_buckets, r["part"], np.frombuffer(r["at"], dtype=np.uint16)[m], h[x:y][m]))
+        yield _emit(out)
+
+
+def _class_sets(batches: Iterator[pa.RecordBatch], keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """In the home of a part: the shared features of its classes, one row of kind 1 for each class to keep."""
+
+    def close(classes: dict | None, got: list[dict]) -> Iterator[pa.RecordBatch]:
+        if classes is None or not got:
+            return
+        pairs = [_unpack(r) for r in got]
+        at, h = np.concatenate([p[0] for p in pairs]) & ~_MARK, np.concatenate([p[1] for p in pairs])
+        order = np.lexsort((h, at))
+        at, h = at[order], h[order]
+        once = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
+        at, h = at[once], h[once]
+        cls, n = u64(classes["v"]), np.frombuffer(classes["hi"], dtype=np.int64)
+        lo, hi = segments(at)
+        good = np.flatnonzero(keep(hi - lo, n[at[lo]]))
+        out = [_row(1, 0, cls=int(as_long(cls[at[lo[i]] : at[lo[i]] + 1])[0]), n=int(hi[i] - lo[i]), v=h[lo[i] : hi[i]].tobytes()) for i in good]
+        for k in range(0, len(out), 2000):
+            yield _emit(out[k : k + 2000])
+
     for _, rows in by_key(batches, "bucket"):
         docs = [r for r in rows if r["kind"] == 2]
         for lo in range(0, len(docs), 5000):
             yield _emit(docs[lo : lo + 5000])
-        parts = [_pairs(r) for r in rows if r["kind"] == 1]
-        if not parts:
-            continue
-        c, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.lexsort((h, c))
-        c, h = c[order], h[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
-        c, h = c[once], h[once]
-        ids, size = runs(c)
-        at = np.concatenate([[0], np.cumsum(size)])
-        out = [{"kind": 1, "bucket": 0, "doc_id": None, "cls": int(as_long(ids[i : i + 1])[0]), "n": int(size[i]), "a": None, "b": None, "v": h[at[i] : at[i + 1]].tobytes()} for i in range(len(ids))]
-        for lo in range(0, len(out), 2000):
-            yield _emit(out[lo : lo + 2000])
-
-
-def shared_features(docs: DataFrame, extract: Extract) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n) of every document, and (cls, m, v) with the ``m`` shared features of every class that has any."""
+        parts: dict[int, list[dict]] = {}
+        for r in rows:
+            if r["kind"] != 2:
+                parts.setdefault(r["part"], []).append(r)
+        for own in parts.values():
+            yield from close(next((r for r in own if r["kind"] == 3), None), [r for r in own if r["kind"] == 1])
+
+
+def shared_features(docs: DataFrame, extract: Extract, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n) of every document, and (cls, m, v) with the ``m`` shared features of the classes that ``keep``
+    chooses by their numbers of shared and of all features. ``n`` is the extractor's number of each document."""
     n = buckets(docs.sparkSession)
-    dealt = exchange(_class_features(docs, extract), n)
+    dealt = exchange(_class_features(docs, extract, n), n)
     back = exchange(dealt.mapInArrow(lambda b: _shared(b, n), _DDL), n)
-    rows = stored(back.mapInArrow(_class_sets, _DDL))
+    rows = stored(back.mapInArrow(lambda b: _class_sets(b, keep), _DDL))
     del dealt, back
     release(docs.sparkSession)
-    return rows.filter("kind = 2").select("doc_id", "cls", "n"), rows.filter("kind = 1").select("cls", F.col("n").alias("m"), "v")
+    sets = rows.filter("kind = 1").select("cls", F.col("n").alias("m"), "v").dropDuplicates(["cls"])
+    return rows.filter("kind = 2").select("doc_id", "cls", "n"), sets
