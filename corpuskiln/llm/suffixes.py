@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ from .shared import Extract, shared_features
 LENGTH = 50
 Q = 20
 SPAN = LENGTH - Q + 1  # q-grams of one string
+PART_BYTES = 1 << 20  # of contexts that are refined together
 
 
 def _qgrams(data: np.ndarray) -> np.ndarray:
@@ -97,18 +99,37 @@ def text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(n >= LENGTH, T.mix64(T.range_hashes(data, off[:-1], off[1:]) + n), np.uint64(0)) & ~np.uint64(1)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): texts as compressed bytes, for exchanges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+
+
 _CONTEXTS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
 _MARKS = pa.schema([("doc_id", pa.int64()), ("start", pa.binary()), ("n", pa.binary())])
 
 
+def _some(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _contexts(n_buckets: int):
-    """(doc_id, text, cls, shared q-grams) -> bytes of the strings in reach of shared q-grams, by bucket of the q-gram."""
+    """(doc_id, packed text, cls, shared q-grams) -> bytes of the strings in reach of shared q-grams, by bucket of the q-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = T.flat(b.column(1))
+        pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        for b in _some(batches):
+            texts = [unpack(z) for z in b.column(1).to_pylist()]
+            data, off = np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
             ids = b.column(0).to_numpy()
-            for lo, hi in T.slices(off, 4 * T.SLICE_BYTES):
+            for lo, hi in T.slices(off):
                 part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 doc, h, start, n = string_runs(part, o)
                 salt = T.mix64(np.arange(hi - lo, dtype=np.uint64) + np.uint64(1))
@@ -116,7 +137,7 @@ def _contexts(n_buckets: int):
                 kept = [u64(x) if ok else u64(b"") for x, ok in zip(b.column(3).slice(lo, hi - lo).to_pylist(), same, strict=True)]
                 size = np.array([len(x) for x in kept])
                 wanted = T.mix64(np.concatenate(kept) + np.repeat(salt, size))
-                m = np.isin(T.mix64(h + salt[doc]), wanted) if len(wanted) else np.zeros(len(h), dtype=bool)
+                m = np.isin(T.mix64((h & ~np.uint64(0xFFFF)) + salt[doc]), wanted) if len(wanted) else np.zeros(len(h), dtype=bool)
                 doc, h, start, n = doc[m], h[m], start[m], n[m]
                 order = np.argsort(h, kind="stable")
                 doc, h, start, n = doc[order], h[order], start[order], n[order]
@@ -126,7 +147,7 @@ def _contexts(n_buckets: int):
                 text = part[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
                 rows = []
                 for x, y in zip(*segments(where), strict=True):
-                    rows.append({"bucket": int(where[x]), "h": h[x:y].tobytes(), "doc": ids[lo + doc[x:y]].tobytes(), "start": (start[x:y] - o[doc[x:y]]).tobytes(), "n": n[x:y].astype(np.uint8).tobytes(), "text": text[total[x] : total[y]].tobytes()})
+                    rows.append({"bucket": int(where[x]), "h": h[x:y].tobytes(), "doc": ids[lo + doc[x:y]].tobytes(), "start": (start[x:y] - o[doc[x:y]]).tobytes(), "n": n[x:y].astype(np.uint8).tobytes(), "text": pack(text[total[x] : total[y]].tobytes())})
                 yield pa.RecordBatch.from_pylist(rows, schema=_CONTEXTS)
 
     return run
@@ -166,58 +187,73 @@ def refine(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The contexts of a bucket (each row is ordered by q-gram) in ranges of q-grams of about PART_BYTES of text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    cols = [(u64(r["h"]), np.frombuffer(r["doc"], dtype=np.int64), np.frombuffer(r["start"], dtype=np.int64), np.frombuffer(r["n"], dtype=np.uint8).astype(np.int64), np.frombuffer(unpack(r["text"]), dtype=np.uint8)) for r in rows]
+    h = np.sort(np.concatenate([c[0] for c in cols]))
+    step = max(1, int(len(h) * PART_BYTES / max(1, sum(len(c[4]) for c in cols))))
+    bounds = np.unique(h[step::step])
+    at = [np.concatenate([[0], np.searchsorted(c[0], bounds), [len(c[0])]]) for c in cols]
+    total = [np.append(0, np.cumsum(c[3] + LENGTH - 1)) for c in cols]
+    for k in range(len(bounds) + 1):
+        own = [(c, x[k], x[k + 1], t) for c, x, t in zip(cols, at, total, strict=True) if x[k] < x[k + 1]]
+        if own:
+            yield tuple(np.concatenate([c[j][lo:hi] for c, lo, hi, _ in own]) for j in range(4)) + (np.concatenate([c[4][t[lo] : t[hi]] for c, lo, hi, t in own]),)
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In the bucket of a q-gram: runs of string starts that also start in a smaller document."""
     for _, rows in by_key(batches, "bucket"):
-        h = np.concatenate([u64(r["h"]) for r in rows])
-        doc, start = (np.concatenate([np.frombuffer(r[k], dtype=np.int64) for r in rows]) for k in ("doc", "start"))
-        n = np.concatenate([np.frombuffer(r["n"], dtype=np.uint8) for r in rows]).astype(np.int64)
-        text = np.concatenate([np.frombuffer(r["text"], dtype=np.uint8) for r in rows])
-        rows.clear()
-        size = n + LENGTH - 1
-        begin = np.cumsum(size) - size
-        whole = T.mix64(T.range_hashes(text, begin, begin + size) + h)  # equal contexts are looked at once
-        _, first, ctx = np.unique(whole, return_index=True, return_inverse=True)
-        low = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(low, ctx, doc)
-        _, group = np.unique(h[first], return_inverse=True)
-        several = np.bincount(group)[group] > 1
-        out_doc, out_start, out_n = [], [], []
-        plain = np.flatnonzero(~several[ctx] & (doc > low[ctx]))
-        out_doc.append(doc[plain])
-        out_start.append(start[plain])
-        out_n.append(n[plain])
-        many = np.flatnonzero(several)
-        if len(many):
-            f = first[many]
-            at = np.repeat(begin[f], n[f]) + np.arange(int(n[f].sum())) - np.repeat(np.cumsum(n[f]) - n[f], n[f])
-            ids = refine(text, at, np.repeat(group[many], n[f]))
-            own = np.repeat(np.arange(len(many)), n[f])
-            least = np.full(int(ids.max()) + 2, np.iinfo(np.int64).max)
-            np.minimum.at(least, ids, low[many][own])  # -1 falls on the spare last place
-            best = np.where(ids >= 0, least[ids], low[many][own])
-            best = np.minimum(best, low[many][own])
-            # every occurrence of these contexts, string by string
-            place = np.full(len(first), -1)
-            place[many] = np.arange(len(many))
-            occ = np.flatnonzero(several[ctx])
-            base = (np.cumsum(n[f]) - n[f])[place[ctx[occ]]]
-            k = n[occ]
-            string = np.repeat(base, k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            odoc = np.repeat(doc[occ], k)
-            ostart = np.repeat(start[occ], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-            m = best[string] < odoc
-            odoc, ostart, o = odoc[m], ostart[m], np.repeat(np.arange(len(occ)), k)[m]
-            if len(odoc):
-                new = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (ostart[1:] != ostart[:-1] + 1)))
-                out_doc.append(odoc[new])
-                out_start.append(ostart[new])
-                out_n.append(np.diff(np.append(new, len(odoc))))
-        d, s, k = np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_n)
-        order = np.lexsort((s, d))
-        d, s, k = d[order], s[order], k[order].astype(np.uint8)
-        cut, ends = segments(d)
-        yield batch(_MARKS, doc_id=d[cut], start=[s[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], n=[k[x:y].tobytes() for x, y in zip(cut, ends, strict=True)])
+        for part in _parts(rows):
+            yield _mark_part(*part)
+
+
+def _mark_part(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+    size = n + LENGTH - 1
+    begin = np.cumsum(size) - size
+    whole = T.mix64(T.range_hashes(text, begin, begin + size) + h)  # equal contexts are looked at once
+    _, first, ctx = np.unique(whole, return_index=True, return_inverse=True)
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, ctx, doc)
+    _, group = np.unique(h[first], return_inverse=True)
+    several = np.bincount(group)[group] > 1
+    out_doc, out_start, out_n = [], [], []
+    plain = np.flatnonzero(~several[ctx] & (doc > low[ctx]))
+    out_doc.append(doc[plain])
+    out_start.append(start[plain])
+    out_n.append(n[plain])
+    many = np.flatnonzero(several)
+    if len(many):
+        f = first[many]
+        at = np.repeat(begin[f], n[f]) + np.arange(int(n[f].sum())) - np.repeat(np.cumsum(n[f]) - n[f], n[f])
+        ids = refine(text, at, np.repeat(group[many], n[f]))
+        own = np.repeat(np.arange(len(many)), n[f])
+        least = np.full(int(ids.max()) + 2, np.iinfo(np.int64).max)
+        np.minimum.at(least, ids, low[many][own])  # -1 falls on the spare last place
+        best = np.where(ids >= 0, least[ids], low[many][own])
+        best = np.minimum(best, low[many][own])
+        # every occurrence of these contexts, string by string
+        place = np.full(len(first), -1)
+        place[many] = np.arange(len(many))
+        occ = np.flatnonzero(several[ctx])
+        base = (np.cumsum(n[f]) - n[f])[place[ctx[occ]]]
+        k = n[occ]
+        string = np.repeat(base, k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        odoc = np.repeat(doc[occ], k)
+        ostart = np.repeat(start[occ], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        m = best[string] < odoc
+        odoc, ostart, o = odoc[m], ostart[m], np.repeat(np.arange(len(occ)), k)[m]
+        if len(odoc):
+            new = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (ostart[1:] != ostart[:-1] + 1)))
+            out_doc.append(odoc[new])
+            out_start.append(ostart[new])
+            out_n.append(np.diff(np.append(new, len(odoc))))
+    d, s, k = np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_n)
+    order = np.lexsort((s, d))
+    d, s, k = d[order], s[order], k[order].astype(np.uint8)
+    cut, ends = segments(d)
+    return batch(_MARKS, doc_id=d[cut], start=[s[x:y].tobytes() for x, y in zip(cut, ends, strict=True)], n=[k[x:y].tobytes() for x, y in zip(cut, ends, strict=True)])
 
 
 def removed_spans(size: int, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,11 +269,12 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
         for lo in range(0, b.num_rows, 500):
             rows, out = b.slice(lo, 500).to_pylist(), []
             for r in rows:
-                raw = (r["text"] or "").encode()
+                raw = unpack(r["z"])
                 data = np.frombuffer(raw, dtype=np.uint8)
                 spans, kept = 0, raw
                 if r["cls"] is not None and len(raw) >= LENGTH and int(as_long(text_keys(data, np.array([0, len(raw)])))[0]) == r["cls"]:
@@ -257,11 +294,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     spark = docs.sparkSession
     n = buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_doc, grams = shared_features(docs.filter("doc_id is not null"), text_features())
+    by_doc, grams = shared_features(docs.filter("doc_id is not null"), text_features(), lambda m, n: m > 0)
     by_doc = by_doc.filter("cls <> 0")
     least = by_doc.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     wanted = stored(grams.join(least, "cls").select(F.col("least").alias("doc_id"), "cls", "v"))
-    context = docs.join(wanted, "doc_id").select("doc_id", "text", "cls", "v").mapInArrow(_contexts(n), "bucket int, h binary, doc binary, start binary, n binary, text binary")
+    texts_ = packed_texts(docs)
+    context = texts_.join(wanted, "doc_id").select("doc_id", "z", "cls", "v").mapInArrow(_contexts(n), "bucket int, h binary, doc binary, start binary, n binary, text binary")
     marks = stored(exchange(context, n).mapInArrow(_mark, "doc_id long, start binary, n binary"))
     del context
     release(spark)
@@ -269,7 +307,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     copies = by_doc.join(least.filter("most > least"), "cls").filter("doc_id > least").select("doc_id", "cls", "least").distinct()
     own = wanted.select("doc_id", "cls", F.col("doc_id").alias("least")).join(marks, "doc_id")
     plan = own.unionByName(copies, allowMissingColumns=True)
-    rows = docs.join(plan, "doc_id", "left").select("doc_id", "text", "cls", "least", "marks")
+    rows = texts_.join(plan, "doc_id", "left").select("doc_id", "z", "cls", "least", "marks")
     out = rows.mapInArrow(lambda b: _cut(b, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
 
