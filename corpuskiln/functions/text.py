@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Boilerplate of the legal gazettes, removed in this order.
 BOILERPLATE = [
@@ -76,12 +77,12 @@ def any_word(words: list[str]) -> str:
     return r"(?iU)\b(?:" + "|".join(words) + r")\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
@@ -89,7 +90,7 @@ def unescape(s: pd.Series) -> pd.Series:
 def strip_markup(text: Column) -> Column:
     """Text nodes on lines of their own, only where the trimmed text begins with ``<``."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<[^>]+>", "\n"), r"\s*\n\s*", "\n")
-    return F.when(F.trim(text).startswith("<"), F.trim(plain)).otherwise(text)
+    return F.when(F.trim(text).startswith("<"), F.trim(plain, F.lit(" \n\r\t"))).otherwise(text)
 
 
 def remove_boilerplate(text: Column) -> Column:

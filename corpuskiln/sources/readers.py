@@ -66,10 +66,17 @@ TAXES = {"VAT": ["vat", "towarów i usług"], "PIT": ["pit", "osób fizycznych"]
 
 
 def tax_types(topics):
-    """Sorted distinct tax kinds of a list of topics."""
-    kind = None
-    for name, words in TAXES.items():
-        kind = lambda t, name=name, words=words, before=kind: (F.when(before(t).isNotNull(), before(t)) if before else F.when(F.lit(False), "")).when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(t), w)), name)
+    """Sorted distinct tax kinds of a list of topics; a topic counts for the first kind that its words tell."""
+
+    def kind(topic):
+        out = F.lit(None).cast("string")
+        for name, words in reversed(TAXES.items()):
+            told = F.lit(False)
+            for w in words:
+                told = told | F.contains(F.lower(topic), F.lit(w))
+            out = F.when(told, name).otherwise(out)
+        return out
+
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(topics, kind), lambda k: k.isNotNull()))), ", ")
 
 
@@ -88,4 +95,4 @@ def canonical(*sources: DataFrame) -> DataFrame:
             s = s.select("id", F.concat_ws(" | ", "court_type", "case_number", "judgment_date").alias("title"), F.substring("judgment_date", 1, 4).alias("year"), F.col("court_type").alias("publisher"), F.col("source_url").alias("url"), F.col("text_html").alias("raw_text"))
         s = s.select(*[F.col(c).cast("string").alias(c) for c in names if c in s.columns])
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
-    return out.select(*names)
+    return out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in names))
