@@ -83,16 +83,18 @@ class Model:
         self.langs, self.landmarks, self.weights = langs, landmarks, weights
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        return kernel(rows, self.landmarks) @ self.weights
+        return np.concatenate([kernel(rows[k : k + 512], self.landmarks) @ self.weights for k in range(0, len(rows), 512)])
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Kernel ridge regression on the bounded sample of ``docs`` (doc_id, text, lang); None where nothing is labelled."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lang)  # WindowGroupLimit: bounded before the shuffle
-    picked = ids.join(F.broadcast(top), "lang").select("doc_id").distinct()
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # a language's smallest hashes lie below this bound, so that only a few rows of each language go on
+    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(top), "lang").filter(F.col("place") * F.col("n") < F.lit(8 * per_lang << 30))
+    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("r") <= per_lang)
+    picked = ids.select("doc_id").distinct()
     sample = known.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text", "lang")  # at most per_lang * max_langs ids
     folded = _presence_rows(sample).collect()
     if not folded:
