@@ -7,14 +7,21 @@ from corpuskiln.llm import suffixes
 from .fixtures import rows, table
 
 
-def brute(data):
+LENGTH_BYTES = 50
+
+
+def marked_bytes(data):
+    """For each document of distinct ids: which bytes a 50-byte string of a smaller document covers."""
+    return {i: m for i, _, m in _marked(data)}
+
+
+def _marked(data):
     first = {}
     for i, t in data:
         b = (t or "").encode()
         for k in range(len(b) - 49):
             g = b[k : k + 50]
             first[g] = min(first.get(g, i), i)
-    out = []
     for i, t in data:
         b = (t or "").encode()
         gone = np.zeros(len(b) + 1, dtype=int)
@@ -22,7 +29,12 @@ def brute(data):
             if first[b[k : k + 50]] < i:
                 gone[k] += 1
                 gone[k + 50] -= 1
-        gone = np.cumsum(gone)[:-1] > 0
+        yield i, b, np.cumsum(gone)[:-1] > 0
+
+
+def brute(data):
+    out = []
+    for i, b, gone in _marked(data):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
         out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
