@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,27 +43,28 @@ def current_status(log: DataFrame, key: str, status: str, ts: str, tie: str) ->
 
 def admit(df: DataFrame, key: str, ts: str, limit: int, window_s: float, order: str) -> DataFrame:
     """Exact sliding-window admission of each key: a rejected request does not count, one exactly as old as the window
-    has left it. A fold over each key's ordered times keeps only the admitted ones of the window."""
-    t = F.collect_list(F.struct(F.col(ts).alias("t"), F.col(order).alias("o")))
-    groups = df.groupBy(key).agg(F.array_sort(t).alias("r"))
+    has left it. A fold over each key's rows, which Spark sorts by time, keeps only the admitted times of the window
+    (at most ``limit``), so a key of any size goes through one task batch by batch."""
+    rows = df.select(F.col(key), F.col(ts).alias("_t"), F.col(order).alias("_o")).repartition(F.col(key)).sortWithinPartitions(key, "_t", "_o")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import deque
 
-        for pdf in batches:
+        kept: deque = deque()
+        first, at = True, None
+        for b in batches:
             out = []
-            for k, rows in zip(pdf[key], pdf["r"], strict=True):
-                kept: deque = deque()
-                for r in rows:
-                    while kept and kept[0] <= r["t"] - window_s:
-                        kept.popleft()
-                    ok = len(kept) < limit
-                    if ok:
-                        kept.append(r["t"])
-                    out.append((k, r["o"], ok))
-            yield pd.DataFrame(out, columns=[key, order, "admitted"])
-
-    return groups.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, admitted boolean")
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if first or k != at:
+                    first, at, kept = False, k, deque()
+                while kept and kept[0] <= t - window_s:
+                    kept.popleft()
+                out.append(len(kept) < limit)
+                if out[-1]:
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.bool_())], names=[key, order, "admitted"])
+
+    return rows.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, admitted boolean")
 
 
 def offered_load(df: DataFrame, key: str, seconds: Column, window_s: int, order: str) -> DataFrame:
