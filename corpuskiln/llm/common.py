@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,10 +22,15 @@ def buckets(spark: SparkSession) -> int:
     return 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a folder is made."""
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a folder is made. Shuffle
+    files serve recovery while the rows are being written; then Spark drops them, as nothing reads them any more. The files
+    themselves go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,15 +40,12 @@ def stored(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more (it works in the background)."""
-    for _ in range(4):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
 
 
 def exchange(df: DataFrame, n: int, key: str = "bucket", *then: str) -> DataFrame:
@@ -67,6 +67,27 @@ def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
         yield at, rows
 
 
+def by_group(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Consecutive rows of equal ``key`` (not null) as (key, one batch of them), for rows of plain columns."""
+    at, held = None, []
+
+    def close() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(b.schema.get_field_index(key)).to_numpy()
+        for lo, hi in zip(*segments(keys), strict=True):
+            if held and keys[lo] != at:
+                yield at, close()
+                held = []
+            at = keys[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield at, close()
+
+
 def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := cols[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema)
 
@@ -101,8 +122,9 @@ def crc_mod(doc_id: str, n: int):
 def connected(edges: DataFrame, spark: SparkSession, rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node reachable over ``edges`` (a, b); only nodes with an edge are returned.
 
-    Alternating large-star and small-star steps: every step is one grouped minimum and one join on the node, no group
-    is ever gathered. Each task first shrinks its own edges to a spanning star forest, which keeps the steps few."""
+    Alternating large-star and small-star steps until every component is a star: every step is one grouped minimum and one
+    join on the node, no group is ever gathered. Each task first shrinks its own edges to a spanning star forest, which
+    keeps the steps few (their number grows with the logarithm of the edges). Raises where ``rounds`` steps don't do."""
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -125,22 +147,21 @@ def connected(edges: DataFrame, spark: SparkSession, rounds: int = 60) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in flat], pa.int64()), pa.array([r for _, r in flat], pa.int64())], names=["u", "v"])
 
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    e = stored(e.mapInArrow(contract, "u long, v long"))  # u > v
-    before = None
+    e = stored(e.mapInArrow(contract, "u long, v long").distinct())  # u > v
     for _ in range(rounds):
+        if _is_star(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).unionByName(e).filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
         e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v")), F.countDistinct("u")).first()
-        if now == before or now[0] == now[2] and _is_star(e):
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components are not found after {rounds} steps")
 
 
 def _is_star(e: DataFrame) -> bool:
-    """Every node has one parent (checked by the caller) and no parent has a parent."""
-    return e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count() == 0
+    """Does every node of the distinct edges (u, v) have one parent, and no parent a parent?"""
+    up = e.groupBy("u").agg(F.count("*").alias("n"))
+    bad = up.join(e.select(F.col("v").alias("u"), F.lit(1).alias("p")).distinct(), "u", "left").filter("n > 1 or p is not null")
+    return bad.isEmpty()

@@ -3,19 +3,21 @@
 A document is the set of its distinct five-word shingles (64-bit hashes). Two documents link when
 ``100 * |A & B| >= 75 * |A | B|``. The join never forms the pairs of a group:
 
-1. Documents of one and the same set form a class (copies collapse here, whatever their number).
+1. Documents of one and the same set (128-bit digest) form a class; copies collapse here, whatever their number.
 2. Shingles are dealt out by hash; only shingles of two or more classes come back to their classes. A class with fewer
    than three quarters of its set shared can link with nothing and is dropped, so all later work is on the rest.
-3. Rarest shingles first (frequency among the remaining classes, then hash: one total order), linked classes share one of
-   their first ``n - ceil(0.75 n) + 1`` shingles. For each of those shingles its inverted list of classes is formed.
-4. Every class of a list is searched for in a block that indexes the least class of the list (a hub, so that near copies
-   of one text need few comparisons); classes found to be linked are joined to components.
-5. Lists that still hold several components connect their classes to candidate clusters, which are searched whole, in
-   blocks of bounded size, so that no link between components is missed; inside a component nothing is compared.
-
-Candidates are searched in index blocks: each block holds inverted lists of its classes; a query merges its short lists
-with a heap, probes the long lists by binary search (DivideSkip), keeps classes that reach the required number of
-occurrences, and confirms each by the exact inequality. Blocks give only spanning links.
+3. Rarest shingles first (number of places that hold it, then hash: one total order), linked classes share one of their
+   first ``n - ceil(0.75 n) + 1`` shingles. Of those, the inverted lists of two or more classes count. The class of a list
+   with the smallest set is its hub; a hub and the classes of all its lists make a star, so that every pair to look at lies
+   in a star.
+4. Every class is searched for among the hubs of its stars, and linked classes are joined to components.
+5. A star whose classes still are of several components is searched whole: the classes outside its largest component
+   against all others, in blocks of bounded size. Inside a component nothing is compared.
+
+Searches run in index blocks: a block holds inverted lists of its classes; a query merges its short lists with a heap,
+probes the long lists by binary search (DivideSkip), keeps classes that reach the required number of occurrences, and
+confirms each by the exact inequality. Blocks give only spanning links. Exchanges carry a row for each list entry, pair of
+star and class, or class of a block; a large star is spread over blocks by class.
 
 Cases: a null or empty text, or one without words: empty set, own component; fewer than five words: the whole sequence
 is the one shingle; repeated rows and ties fall into one class; an empty table gives no rows; other columns are not read.
@@ -24,7 +26,6 @@ is the one shingle; repeated rows and ties fall into one class; an empty table g
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import as_long, batch, bucket_of, buckets, by_key, connected, documents, exchange, release, segments, stored, u64
-from .shared import Extract, runs, shared_features
+from .common import as_long, batch, buckets, by_group, connected, documents, exchange, segments, stored, u64
+from .shared import Extract, shared_features
 
 WIDTH = 5
 NUM, DEN = 75, 100  # the least similarity
@@ -49,121 +50,58 @@ def shingle_features(width: int = WIDTH) -> Extract:
         w = T.find_words(low, off)
         doc, h = T.shingle_sets(*T.shingles(T.range_hashes(low, w.start, w.end), w.first, width))
         n = np.bincount(doc, minlength=len(off) - 1)
-        cls = np.zeros(len(off) - 1, dtype=np.uint64)
-        full = np.flatnonzero(n)
-        if len(full):
-            at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-            cls[full] = T.mix64(np.add.reduceat(T.mix64(h), at) + n[full].astype(np.uint64))
-        return doc, h, n, cls
+        end = np.cumsum(n)
+        key = np.where((n > 0)[:, None], T.digests(h, end - n, end), np.uint64(0))
+        return doc, h, n, key
 
     return extract
 
 
-# ---- rarest shingles first ------------------------------------------------------------------------------------------
-
-_LISTS = pa.schema([("bucket", pa.int32()), ("cls", pa.binary()), ("n", pa.binary()), ("h", pa.binary()), ("f", pa.binary())])
-_LISTS_DDL = "bucket int, cls binary, n binary, h binary, f binary"
-
-
-def _deal(where: np.ndarray, cls: np.ndarray, n: np.ndarray, h: np.ndarray, f: np.ndarray | None = None) -> pa.RecordBatch:
-    order = np.argsort(where, kind="stable")
-    where, cols = where[order], [None if x is None else x[order] for x in (cls, n, h, f)]
-    cut, ends = segments(where)
-    blobs = [[None if x is None else x[lo:hi].tobytes() for lo, hi in zip(cut, ends, strict=True)] for x in cols]
-    return batch(_LISTS, bucket=where[cut].astype(np.int32), cls=blobs[0], n=blobs[1], h=blobs[2], f=blobs[3])
-
-
-def _take(rows: list[dict], *names: str) -> list[np.ndarray]:
-    kinds = {"cls": np.uint64, "n": np.uint32, "h": np.uint64, "f": np.uint32}
-    return [np.concatenate([np.frombuffer(r[x], dtype=kinds[x]) for r in rows]) for x in names]
-
-
-def prefixes(sets: DataFrame, n_buckets: int) -> DataFrame:
-    """Inverted-list entries (bucket of the shingle; class, size, shingle) of the rarest shingles of each class."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                rows = b.slice(lo, 2000).to_pylist()
-                h = [u64(r["v"]) for r in rows]
-                size = np.array([len(x) for x in h])
-                h = np.concatenate(h)
-                cls = np.repeat(np.array([r["cls"] for r in rows], dtype=np.int64).view(np.uint64), size)
-                yield _deal(bucket_of(h, n_buckets), cls, np.repeat(np.array([r["n_shingles"] for r in rows], dtype=np.uint32), size), h)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches, "bucket"):
-            cls, n, h = _take(rows, "cls", "n", "h")
-            _, inv, f = np.unique(h, return_inverse=True, return_counts=True)
-            f = f[inv].astype(np.uint32)
-            m = f > 1
-            yield _deal(bucket_of(cls[m], n_buckets), cls[m], n[m], h[m], f[m])
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches, "bucket"):
-            cls, n, h, f = _take(rows, "cls", "n", "h", "f")
-            order = np.lexsort((h, f, cls))
-            cls, n, h = cls[order], n[order].astype(np.int64), h[order]
-            ids, size = runs(cls)
-            first = np.repeat(np.cumsum(size) - size, size)
-            own = np.repeat(size, size)
-            # shingles that no other class has come first in the order and lead nowhere
-            keep = np.arange(len(cls)) - first < (n + (-NUM * n // DEN) + 1) - (n - own)
-            yield _deal(bucket_of(h[keep], n_buckets), cls[keep], n[keep].astype(np.uint32), h[keep])
-
-    dealt = exchange(sets.select("cls", "n_shingles", "v").mapInArrow(spread, _LISTS_DDL), n_buckets)
-    dealt = exchange(dealt.mapInArrow(count, _LISTS_DDL), n_buckets)
-    return dealt.mapInArrow(choose, _LISTS_DDL)
-
-
-# ---- search in blocks ----------------------------------------------------------------------------------------------
+# ---- stars ----------------------------------------------------------------------------------------------------------
 
 BLOCK = 2048  # classes of a block
 
+_ENTRIES = pa.schema([("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, hub): every class of an inverted list with the least one of the list, where their sizes allow a link."""
-    for _, rows in by_key(batches, "bucket"):
-        cls, n, h = _take(rows, "cls", "n", "h")
-        order = np.lexsort((cls, n, h))
-        cls, n, h = cls[order], n[order].astype(np.int64), h[order]
-        lo, hi = segments(h)
-        hub, size = np.repeat(cls[lo], hi - lo), np.repeat(n[lo], hi - lo)
-        m = (cls != hub) & (DEN * size >= NUM * n)
-        if m.any():
-            a, b = np.unique(np.stack([cls[m], hub[m]]), axis=1)
-            yield batch(_PAIRS, a=as_long(a), b=as_long(b))
-
-
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverted-list entries of the rarest shingles of each class (cls, n, m, v)."""
     for b in batches:
-        for r in b.to_pylist():
-            cls, h = _take([r], "cls", "h")
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(as_long(cls))], names=["h", "cls"])
+        for lo in range(0, b.num_rows, 4096):
+            cls, n, m, v = b.slice(lo, 4096).columns
+            n, m = n.to_numpy(), m.to_numpy()
+            # shingles that no other class has come first in the order and lead nowhere
+            k = np.clip((n + (-NUM * n // DEN) + 1) - (n - m), 0, m)
+            h = [u64(x)[:y] for x, y in zip(v.to_pylist(), k.tolist(), strict=True)]
+            yield batch(_ENTRIES, h=as_long(np.concatenate(h)), cls=np.repeat(cls.to_numpy(), k), n=np.repeat(n, k))
+
 
+def stars(sets: DataFrame) -> DataFrame:
+    """(hub, hub_n, cls, n): every class of an inverted list with the list's class of the smallest set."""
+    entries = sets.select("cls", "n", "m", "v").mapInArrow(_entries, "h long, cls long, n long")
+    hubs = entries.groupBy("h").agg(F.min(F.struct("n", "cls")).alias("hub"), F.max("cls").alias("top")).filter("hub.cls <> top")
+    pairs = entries.join(hubs.select("h", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), "top"), "h")
+    return pairs.filter("cls <> hub").select("hub", "hub_n", "cls", "n").distinct()
 
-HEAP = 2048  # occurrences up to which the short lists are merged by a heap; more are merged by sorting
+
+# ---- search in blocks ----------------------------------------------------------------------------------------------
 
 
 def divide_skip(query: np.ndarray, need: int, lists: dict[int, np.ndarray], wanted=None) -> tuple[np.ndarray, np.ndarray]:
-    """Members that occur on at least ``need`` of the query's lists, and how often: the short lists are merged (both ways
-    of merging give the same counts), candidates of the merge are probed in the long lists by binary search, and leave
-    as soon as they cannot reach the number any more. ``wanted`` drops candidates after the merge."""
+    """Members that occur on at least ``need`` of the query's lists, and how often: the short lists are merged by a heap,
+    candidates of the merge are probed in the long lists by binary search, and leave as soon as they cannot reach the
+    number any more. ``wanted`` drops candidates after the merge."""
     none = np.zeros(0, dtype=np.int64)
     own = sorted((lists[h] for h in query.tolist() if h in lists), key=len)
     if len(own) < need:
         return none, none
     n_long = min(need - 1, int(need / (0.01 * math.log2(len(own[-1]) + 1) + 1)))
     short, long_ = own[: len(own) - n_long], own[len(own) - n_long :]
-    if sum(map(len, short)) <= HEAP:
-        runs_ = [(x, sum(1 for _ in g)) for x, g in itertools.groupby(heapq.merge(*(x.tolist() for x in short)))]
-        cand, count = np.array([x for x, _ in runs_], dtype=np.int64), np.array([c for _, c in runs_], dtype=np.int64)
-    else:
-        cand, count = np.unique(np.concatenate(short), return_counts=True)
-    good = count >= need - n_long
-    cand, count = cand[good], count[good]
+    merged = np.fromiter(heapq.merge(*(x.tolist() for x in short)), dtype=np.int64)
+    lo, hi = segments(merged)
+    good = hi - lo >= need - n_long
+    cand, count = merged[lo[good]], (hi - lo)[good]
     if wanted is not None and len(cand):
         good = wanted(cand)
         cand, count = cand[good], count[good]
@@ -190,64 +128,94 @@ def divide_skip(query: np.ndarray, need: int, lists: dict[int, np.ndarray], want
     return cand[good], count[good]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In a block of classes (``block``; cls, n_shingles, v, query, indexed, root): links that join different components.
-
-    Where all classes are both queries and indexed, those of the most frequent component need not be searched for."""
-    for _, rows in by_key(batches, "block"):
-        seen: dict[int, dict] = {}
-        for r in rows:
-            old = seen.setdefault(r["cls"], r)
-            old["query"] |= r["query"]
-            old["indexed"] |= r["indexed"]
-        members = list(seen.values())
-        held: dict[int, list[int]] = {}
-        for i, r in enumerate(members):
-            if r["indexed"]:
-                for h in u64(r["v"]).tolist():
-                    held.setdefault(h, []).append(i)
-        lists = {h: np.array(x, dtype=np.int64) for h, x in held.items()}
-        del held
-        _, comp, counts = np.unique(np.array([r["root"] for r in members], dtype=np.int64), return_inverse=True, return_counts=True)
-        size = np.array([r["n_shingles"] for r in members], dtype=np.int64)
-        all_ = all(r["query"] and r["indexed"] for r in members)
-        spare = comp == counts.argmax() if all_ else np.zeros(len(members), dtype=bool)
+class Block:
+    """The inverted lists of a block's indexed classes, and which component each class is known to be in."""
+
+    def __init__(self, cls: np.ndarray, n: np.ndarray, root: np.ndarray, v: list[bytes]):
+        self.cls, self.n = cls, n
+        self.parent = {r: r for r in root.tolist()}
+        self.root = root.tolist()
+        h = [u64(x) for x in v]
+        item = np.repeat(np.arange(len(h)), [len(x) for x in h])
+        h = np.concatenate(h) if h else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(h, kind="stable")
+        lo, hi = segments(h[order])
+        item = item[order]
+        self.lists = {int(k): item[x:y] for k, x, y in zip(h[order][lo], lo, hi, strict=True)}
+
+    def comp(self, root: int) -> int:
+        """The component of a root, as far as this block knows."""
+        p = self.parent.setdefault(root, root)
+        while p != self.parent[p]:
+            self.parent[p] = p = self.parent[self.parent[p]]
+        return p
+
+    def links(self, n: int, root: int, v: np.ndarray) -> list[int]:
+        """Indexed classes of other components that are linked with a query, one for each component."""
+        own = self.comp(root)
+
+        def near(c: np.ndarray) -> np.ndarray:
+            fit = (DEN * self.n[c] >= NUM * n) & (DEN * n >= NUM * self.n[c])
+            return fit & np.array([self.comp(self.root[i]) != own for i in c.tolist()], dtype=bool)
+
+        cand, common = divide_skip(v, -(-NUM * n // DEN), self.lists, near)
         out = []
-        for i, r in enumerate(members):
-            if not r["query"] or spare[i]:
-                continue
-            na = r["n_shingles"]
-            near = lambda c, i=i, na=na: (comp[c] != comp[i]) & (DEN * size[c] >= NUM * na) & (DEN * na >= NUM * size[c])
-            cand, common = divide_skip(u64(r["v"]), -(-NUM * na // DEN), lists, near)
-            for j in cand[DEN * common >= NUM * (na + size[cand] - common)].tolist():
-                if comp[i] != comp[j]:
-                    comp[comp == comp[j]] = comp[i]
-                    out.append((r["cls"], members[j]["cls"]))
+        for j in cand[DEN * common >= NUM * (n + self.n[cand] - common)].tolist():
+            if (other := self.comp(self.root[j])) != self.comp(root):
+                self.parent[other] = self.comp(root)
+                out.append(int(self.cls[j]))
+        return out
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a block of classes (block, cls, n, root, v, query, indexed): links that join components."""
+    for _, rows in by_group(batches, "block"):
+        cls, n, root, query, indexed = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 5, 6))
+        v = rows.column(4)
+        i = np.flatnonzero(indexed)
+        block = Block(cls[i], n[i], root[i], v.take(pa.array(i)).to_pylist())
+        out = [(int(cls[k]), other) for k in np.flatnonzero(query).tolist() for other in block.links(int(n[k]), int(root[k]), u64(v[k].as_py()))]
         yield batch(_PAIRS, a=[x for x, _ in out], b=[y for _, y in out])
 
 
-def _hub_links(lists: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """Links of classes with the hubs of their lists: a block indexes hubs, the other classes are its queries."""
-    pairs = exchange(lists, n).mapInArrow(_hubs, "a long, b long").distinct()
-    block = F.expr(f"cast(pmod(xxhash64(b), {n}) as int)").alias("block")
-    rows = pairs.select(F.col("a").alias("cls"), block, F.lit(True).alias("query"), F.lit(False).alias("indexed")).unionByName(pairs.select(F.col("b").alias("cls"), block, F.lit(False).alias("query"), F.lit(True).alias("indexed"))).distinct()
-    rows = rows.join(sets, "cls").withColumn("root", F.col("cls"))
+def _blocks(rows: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Links found in blocks of (job, cls, root, query, indexed); rows of one class and block count once."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("job"), F.lit(n)).cast("int"))
+    rows = rows.groupBy("block", "cls").agg(F.first("root").alias("root"), F.max("query").alias("query"), F.max("indexed").alias("indexed"))
+    rows = rows.join(sets.select("cls", "n", "v"), "cls").select("block", "cls", "n", "root", "v", "query", "indexed")
     return exchange(rows, n, "block").mapInArrow(_search, "a long, b long")
 
 
-def _cross_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """Links between components: lists that hold several components connect their classes to candidate clusters; each
-    cluster is searched in blocks of bounded size, every block against every other of its cluster."""
-    spark = lists.sparkSession
-    flat = lists.mapInArrow(_entries, "h long, cls long").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = flat.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("cls").alias("b")).filter("lo <> hi").select("h", "b")
-    edges = stored(flat.join(mixed, "h").select(F.col("cls").alias("a"), "b", "root").distinct())
-    cluster = connected(edges.filter("a <> b"), spark).select(F.col("node").alias("cls"), F.col("root").alias("cluster"))
-    members = edges.select(F.col("a").alias("cls"), "root").distinct().join(cluster, "cls")
-    size = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    part = members.join(size, "cluster").withColumn("own", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = part.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "cls", "root", F.lit(True).alias("query"), F.lit(True).alias("indexed"))
-    return exchange(rows.join(sets, "cls"), n, "block").mapInArrow(_search, "a long, b long")
+def _roles(query: bool, indexed: bool) -> list:
+    return [F.lit(query).alias("query"), F.lit(indexed).alias("indexed")]
+
+
+def _hub_links(star: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Links of classes with the hubs of their stars: a block indexes hubs, the other classes are its queries."""
+    near = star.filter(DEN * F.col("hub_n") >= NUM * F.col("n"))
+    parts = near.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    query = near.join(parts, "hub").select(F.struct("hub", F.expr("cast(pmod(xxhash64(cls), parts) as int)").alias("i"), F.lit(0).alias("j")).alias("job"), "cls", F.col("cls").alias("root"), *_roles(True, False))
+    hub = parts.select(F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    hub = hub.select(F.struct(F.col("cls").alias("hub"), "i", F.lit(0).alias("j")).alias("job"), "cls", F.col("cls").alias("root"), *_roles(False, True))
+    return _blocks(query.unionByName(hub), sets, n)
+
+
+def _cross_links(star: DataFrame, labels: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Links inside stars whose classes (but for the hub, which all were compared with) are of several components.
+
+    A star's classes outside its largest component are searched for among themselves and among those inside."""
+    rooted = star.select("hub", "cls").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    by_root = rooted.groupBy("hub", "root").agg(F.count("*").alias("c"))
+    main = by_root.groupBy("hub").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all")).filter("main.c < all")
+    main = main.select("hub", F.col("main.root").alias("main"), F.expr(f"cast(ceil(main.c / {BLOCK}) as int)").alias("inner"), F.expr(f"cast(ceil((all - main.c) / {BLOCK}) as int)").alias("outer"))
+    rows = stored(rooted.join(main, "hub"))
+    inside, outside = rows.filter("root = main"), rows.filter("root <> main")
+    own, job = F.expr("cast(pmod(xxhash64(cls), outer) as int)"), F.struct("hub", "i", "j").alias("job")
+    to_inner = outside.withColumn("i", own).withColumn("j", F.explode(F.expr("sequence(1, inner)"))).select(job, "cls", "root", *_roles(True, False))
+    inner = inside.withColumn("j", F.expr("cast(1 + pmod(xxhash64(cls), inner) as int)")).withColumn("i", F.explode(F.expr("sequence(0, outer - 1)"))).select(job, "cls", "root", *_roles(False, True))
+    # blocks of the outside classes against each other: job (i, -1 - k) for i <= k
+    among = outside.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, outer - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", -1 - F.greatest("own", "other")).select(job, "cls", "root", *_roles(True, True))
+    return _blocks(to_inner.unionByName(inner).unionByName(among), sets, n)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -255,22 +223,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     n = buckets(spark)
     by_doc, sets = shared_features(docs, shingle_features(width), lambda m, n: DEN * m >= NUM * n)
-    by_doc = by_doc.withColumnRenamed("n", "n_shingles")
-    size = by_doc.groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("class_id"))
-    sets = stored(sets.join(size, "cls").select("cls", "n_shingles", "v"))
-    lists = stored(prefixes(sets, n))
-    release(spark)
-    first = stored(_hub_links(lists, sets, n))
-    labels = connected(first, spark)
-    second = stored(_cross_links(lists, labels, sets, n))
-    release(spark)
+    sets = stored(sets.withColumn("cls", F.monotonically_increasing_id()))
+    star = stored(stars(sets))
+    first = stored(_hub_links(star, sets, n))
+    labels = stored(connected(first, spark))
+    second = _cross_links(star, labels, sets, n)
     roots = connected(first.unionByName(second), spark)
-    comp = size.join(roots, size.cls == roots.node, "left").select("cls", "class_id", F.coalesce("root", "cls").alias("root"))
+    classes = by_doc.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
+    node = sets.select("k1", "k2", "cls").join(roots, F.col("cls") == F.col("node")).select("k1", "k2", "root")
+    comp = stored(classes.join(node, ["k1", "k2"]))
     least = comp.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    comp = comp.join(least, "root").select("cls", "class_id", "component_id")
-    out = by_doc.join(comp, "cls")
-    alone = F.col("cls") == 0  # the empty set links with nothing
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    joined = comp.join(least, "root").select("k1", "k2", "component_id")
+    found = classes.join(joined, ["k1", "k2"], "left").select("k1", "k2", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    out = by_doc.join(found, ["k1", "k2"])
+    alone = (F.col("k1") == 0) & (F.col("k2") == 0)  # the empty set links with nothing
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def op5_divide_skip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

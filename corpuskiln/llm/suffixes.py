@@ -2,13 +2,16 @@
 
 Removes each byte covered by a ``LENGTH``-byte string that also starts in a document with a smaller id.
 
-1. Equal texts form classes: of a class only the document with the least id is searched; later copies go whole.
-2. Suffixes worth sorting are found by their initial q-gram: every ``LENGTH``-byte string has one least-hashed q-gram of
-   its own bytes, equal strings have equal ones, and only q-grams that two or more classes hold are kept.
-3. The strings that begin in reach of a kept q-gram go, with just the bytes they cover, to the bucket of the q-gram.
-   There suffixes are refined: buckets of 8 bytes, then sorted on the bucket ids at later offsets, so that ids of 16,
-   32 and at last ``LENGTH`` bytes reuse the ids of the round before. Suffixes alone in a bucket leave the refinement.
-4. Equal strings now share a bucket; all but those of the least document are marked, and marks go back as runs.
+1. Equal texts (128-bit digest) form classes: of a class only the document with the least id is searched; later copies go whole.
+2. Suffixes worth sorting are found by a q-gram: every ``LENGTH``-byte string has one least-hashed q-gram of its own bytes,
+   equal strings have equal ones, and only q-grams that two or more classes hold are kept.
+3. The strings that begin in reach of a kept q-gram are one context: a row of the q-gram's hash and the bytes they cover.
+   Rows are dealt out and sorted by hash and bytes, so that equal contexts lie side by side and are told by their bytes.
+4. Where contexts of a q-gram differ, their suffixes are refined: initial buckets of 8 bytes give every offset a pointer (the
+   place of its bucket in the order); a bucket is sorted on the pointers at a later offset, its suffixes get the pointers of
+   their parts, and the next round sorts on these, so that 8 bytes become 16, 32, and ``LENGTH``. Suffixes alone in a bucket
+   keep their pointer and leave.
+5. Equal strings now have equal pointers; all but those of the least document are marked, and marks go back as runs.
 
 Cases: a null or empty text has no bytes and none removed; texts under ``LENGTH`` bytes lose nothing; rows that repeat a
 doc_id never remove from each other (only a smaller id counts), and a row without doc_id neither loses nor removes;
@@ -27,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import as_long, batch, bucket_of, buckets, by_key, documents, exchange, release, segments, stored, u64
+from .common import batch, buckets, documents, segments, stored, u64
 from .shared import Extract, shared_features
 
 LENGTH = 50
 Q = 20
 SPAN = LENGTH - Q + 1  # q-grams of one string
-PART_BYTES = 1 << 20  # of contexts that are refined together
+PART_ROWS = 1 << 14  # contexts that are refined together
 
 
 def _qgrams(data: np.ndarray) -> np.ndarray:
@@ -95,8 +98,8 @@ def text_features() -> Extract:
 
 
 def text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    n = np.diff(off).astype(np.uint64)
-    return np.where(n >= LENGTH, T.mix64(T.range_hashes(data, off[:-1], off[1:]) + n), np.uint64(0)) & ~np.uint64(1)
+    """Digests of whole texts; zeros where a text is too short to matter."""
+    return np.where((np.diff(off) >= LENGTH)[:, None], T.digests(data, off[:-1], off[1:]), np.uint64(0))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -110,114 +113,117 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
 
 
-_CONTEXTS = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("n", pa.binary()), ("text", pa.binary())])
+_CONTEXTS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("text", pa.binary())])
+_CONTEXTS_DDL = "h long, doc long, start long, text binary"
 _MARKS = pa.schema([("doc_id", pa.int64()), ("start", pa.binary()), ("n", pa.binary())])
 
 
-def _some(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, packed text, k1, k2, shared q-grams) -> the contexts of the shared q-grams."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
-def _contexts(n_buckets: int):
-    """(doc_id, packed text, cls, shared q-grams) -> bytes of the strings in reach of shared q-grams, by bucket of the q-gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-        for b in _some(batches):
-            texts = [unpack(z) for z in b.column(1).to_pylist()]
+        for at in range(0, b.num_rows, 500):
+            rows = b.slice(at, 500)
+            texts = [unpack(z) for z in rows.column(1).to_pylist()]
             data, off = np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
-            ids = b.column(0).to_numpy()
+            ids, own = rows.column(0).to_numpy(), np.stack([rows.column(i).to_numpy().view(np.uint64) for i in (2, 3)], axis=1)
             for lo, hi in T.slices(off):
                 part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 doc, h, start, n = string_runs(part, o)
                 salt = T.mix64(np.arange(hi - lo, dtype=np.uint64) + np.uint64(1))
-                same = as_long(text_keys(part, o)) == b.column(2).slice(lo, hi - lo).to_numpy()
-                kept = [u64(x) if ok else u64(b"") for x, ok in zip(b.column(3).slice(lo, hi - lo).to_pylist(), same, strict=True)]
-                size = np.array([len(x) for x in kept])
-                wanted = T.mix64(np.concatenate(kept) + np.repeat(salt, size))
-                m = np.isin(T.mix64((h & ~np.uint64(0xFFFF)) + salt[doc]), wanted) if len(wanted) else np.zeros(len(h), dtype=bool)
-                doc, h, start, n = doc[m], h[m], start[m], n[m]
-                order = np.argsort(h, kind="stable")
-                doc, h, start, n = doc[order], h[order], start[order], n[order]
-                where = bucket_of(h, n_buckets)
-                size = n + LENGTH - 1
+                same = (text_keys(part, o) == own[lo:hi]).all(axis=1)  # another row of the id may hold another text
+                kept = [u64(x) if ok else u64(b"") for x, ok in zip(rows.column(4).slice(lo, hi - lo).to_pylist(), same, strict=True)]
+                wanted = T.mix64(np.concatenate(kept) + np.repeat(salt, [len(x) for x in kept]))
+                m = np.isin(T.mix64(h + salt[doc]), wanted)
+                doc, h, start, size = doc[m], h[m], start[m], n[m] + LENGTH - 1
                 total = np.append(0, np.cumsum(size))
                 text = part[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-                rows = []
-                for x, y in zip(*segments(where), strict=True):
-                    rows.append({"bucket": int(where[x]), "h": h[x:y].tobytes(), "doc": ids[lo + doc[x:y]].tobytes(), "start": (start[x:y] - o[doc[x:y]]).tobytes(), "n": n[x:y].astype(np.uint8).tobytes(), "text": pack(text[total[x] : total[y]].tobytes())})
-                yield pa.RecordBatch.from_pylist(rows, schema=_CONTEXTS)
-
-    return run
-
+                blobs = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(total.astype(np.int32)), pa.py_buffer(text.tobytes())])
+                yield batch(_CONTEXTS, h=h.view(np.int64), doc=ids[lo + doc], start=start - o[doc], text=blobs)
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Bucket ids of tuples of bucket ids."""
-    key = keys[0].astype(np.uint64)
-    for k in keys[1:]:
-        key = (key << np.uint64(32)) | k.astype(np.uint64)
-    return np.unique(key, return_inverse=True)[1]
 
-
-def refine(text: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Bucket ids of the LENGTH-byte strings of ``text`` that start at ``at`` (initial buckets: ``group``); -1 where a
-    string turned out to be alone on the way."""
-    out = np.full(len(at), -1, dtype=np.int64)
+def refine(text: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for equal ``LENGTH``-byte strings of ``text`` starting at ``at``; ``end``: where the context of
+    each byte ends (no bytes beyond are read)."""
+    room = end - np.arange(len(text))
     lead = np.zeros(len(text), dtype=np.uint64)
     padded = np.append(text, np.zeros(8, dtype=np.uint8)).astype(np.uint64)
     for k in range(8):
         lead = (lead << np.uint64(8)) | padded[k : k + len(text)]
-    need = np.zeros(len(text) + 1, dtype=np.int64)  # offsets that some string covers
-    np.add.at(need, at, 1)
-    np.add.at(need, at + LENGTH - 7, -1)
-    where = np.flatnonzero(np.cumsum(need)[:-1] > 0)
-    ids = np.zeros(len(text), dtype=np.int64)
-    ids[where] = _ranks(lead[where])  # buckets of 8 bytes
-    live = np.arange(len(at))
-    pointer = group.astype(np.int64)
-    for offset in (0, 8, 16, 24, 32, 40, LENGTH - 8):  # refine on the bucket ids of later offsets
-        pointer = _ranks(pointer, ids[at[live] + offset])
-        crowd = np.bincount(pointer)[pointer] > 1  # a string alone in its bucket needs no more refinement
-        live, pointer = live[crowd], pointer[crowd]
-        if not len(live):
-            return out
-    out[live] = pointer
-    return out
-
-
-def _parts(rows: list[dict]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The contexts of a bucket (each row is ordered by q-gram) in ranges of q-grams of about PART_BYTES of text."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    cols = [(u64(r["h"]), np.frombuffer(r["doc"], dtype=np.int64), np.frombuffer(r["start"], dtype=np.int64), np.frombuffer(r["n"], dtype=np.uint8).astype(np.int64), np.frombuffer(unpack(r["text"]), dtype=np.uint8)) for r in rows]
-    h = np.sort(np.concatenate([c[0] for c in cols]))
-    step = max(1, int(len(h) * PART_BYTES / max(1, sum(len(c[4]) for c in cols))))
-    bounds = np.unique(h[step::step])
-    at = [np.concatenate([[0], np.searchsorted(c[0], bounds), [len(c[0])]]) for c in cols]
-    total = [np.append(0, np.cumsum(c[3] + LENGTH - 1)) for c in cols]
-    for k in range(len(bounds) + 1):
-        own = [(c, x[k], x[k + 1], t) for c, x, t in zip(cols, at, total, strict=True) if x[k] < x[k + 1]]
-        if own:
-            yield tuple(np.concatenate([c[j][lo:hi] for c, lo, hi, _ in own]) for j in range(4)) + (np.concatenate([c[4][t[lo] : t[hi]] for c, lo, hi, t in own]),)
+    live = np.flatnonzero(room >= 8)
+    live = live[np.argsort(lead[live], kind="stable")]
+    lo, hi = segments(lead[live])
+    pointer = np.full(len(text), -1, dtype=np.int64)
+    pointer[live] = np.repeat(lo, hi - lo)  # a bucket's pointer is its place in the order
+    live, depth = live[np.repeat(hi - lo > 1, hi - lo)], 8
+    while depth < LENGTH and len(live):
+        step = min(depth, LENGTH - depth)
+        live = live[room[live] >= depth + step]
+        first, second = pointer[live], pointer[live + step]
+        order = np.lexsort((second, first))
+        live, first, second = live[order], first[order], second[order]
+        lo, hi = segments(first)
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        at_part = np.flatnonzero(new)
+        size = np.diff(np.append(at_part, len(live)))
+        # the parts of a bucket take places within the bucket, so a pointer stays unlike those of all other buckets
+        pointer[live] = first + np.repeat(at_part, size) - np.repeat(lo, hi - lo)
+        live, depth = live[np.repeat(size > 1, size)], depth + step
+    return pointer[at]
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    off = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
+    return data[off[0] : off[-1]], off - off[0]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by q-gram in parts of PART_ROWS or somewhat more; all rows of a q-gram are in one."""
+    held, rows = [], 0
+
+    def close() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h = b.column(0).to_numpy()
+        if rows >= PART_ROWS:
+            other = np.flatnonzero(h != held[-1].column(0)[-1].as_py())
+            if len(other):  # sorted, so the first other q-gram ends the last one
+                if other[0]:
+                    held.append(b.slice(0, int(other[0])))
+                yield close()
+                held, rows, b = [], 0, b.slice(int(other[0]))
+        held.append(b)
+        rows += b.num_rows
+    if held:
+        yield close()
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the bucket of a q-gram: runs of string starts that also start in a smaller document."""
-    for _, rows in by_key(batches, "bucket"):
-        for part in _parts(rows):
-            yield _mark_part(*part)
-
-
-def _mark_part(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
-    size = n + LENGTH - 1
-    begin = np.cumsum(size) - size
-    whole = T.mix64(T.range_hashes(text, begin, begin + size) + h)  # equal contexts are looked at once
-    _, first, ctx = np.unique(whole, return_index=True, return_inverse=True)
-    low = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(low, ctx, doc)
-    _, group = np.unique(h[first], return_inverse=True)
-    several = np.bincount(group)[group] > 1
+    """In the part of a q-gram: runs of string starts that also start in a smaller document."""
+    for part in _parts(batches):
+        yield _mark_part(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy(), *_flat(part.column(3)))
+
+
+def _mark_part(h: np.ndarray, doc: np.ndarray, start: np.ndarray, text: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    size = np.diff(off)
+    n = size - LENGTH + 1
+    # equal contexts lie side by side
+    i = np.flatnonzero((h[1:] == h[:-1]) & (size[1:] == size[:-1])) + 1
+    other = np.ones(len(h), dtype=bool)
+    if len(i):
+        total = np.append(0, np.cumsum(size[i]))
+        byte = np.repeat(off[i] - total[:-1], size[i]) + np.arange(total[-1])
+        other[i] = np.logical_or.reduceat(text[byte] != text[byte - np.repeat(size[i], size[i])], total[:-1])
+    first = np.flatnonzero(other)
+    ctx = np.cumsum(other) - 1
+    low = np.minimum.reduceat(doc, first)
+    lo, hi = segments(h[first])
+    several = np.repeat(hi - lo > 1, hi - lo)
     out_doc, out_start, out_n = [], [], []
     plain = np.flatnonzero(~several[ctx] & (doc > low[ctx]))
     out_doc.append(doc[plain])
@@ -226,22 +232,22 @@ def _mark_part(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray,
     many = np.flatnonzero(several)
     if len(many):
         f = first[many]
-        at = np.repeat(begin[f], n[f]) + np.arange(int(n[f].sum())) - np.repeat(np.cumsum(n[f]) - n[f], n[f])
-        ids = refine(text, at, np.repeat(group[many], n[f]))
-        own = np.repeat(np.arange(len(many)), n[f])
-        least = np.full(int(ids.max()) + 2, np.iinfo(np.int64).max)
-        np.minimum.at(least, ids, low[many][own])  # -1 falls on the spare last place
-        best = np.where(ids >= 0, least[ids], low[many][own])
-        best = np.minimum(best, low[many][own])
+        total = np.append(0, np.cumsum(size[f]))
+        own_text = text[np.repeat(off[f] - total[:-1], size[f]) + np.arange(total[-1])]
+        strings = np.append(0, np.cumsum(n[f]))
+        at = np.repeat(total[:-1] - strings[:-1], n[f]) + np.arange(strings[-1])
+        ids = refine(own_text, np.repeat(total[1:], size[f]), at)
+        least = np.full(len(own_text) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, ids, np.repeat(low[many], n[f]))
+        best = least[ids]
         # every occurrence of these contexts, string by string
         place = np.full(len(first), -1)
         place[many] = np.arange(len(many))
         occ = np.flatnonzero(several[ctx])
-        base = (np.cumsum(n[f]) - n[f])[place[ctx[occ]]]
         k = n[occ]
-        string = np.repeat(base, k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-        odoc = np.repeat(doc[occ], k)
-        ostart = np.repeat(start[occ], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        string = np.repeat(strings[place[ctx[occ]]], k) + step
+        odoc, ostart = np.repeat(doc[occ], k), np.repeat(start[occ], k) + step
         m = best[string] < odoc
         odoc, ostart, o = odoc[m], ostart[m], np.repeat(np.arange(len(occ)), k)[m]
         if len(odoc):
@@ -277,7 +283,7 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
                 raw = unpack(r["z"])
                 data = np.frombuffer(raw, dtype=np.uint8)
                 spans, kept = 0, raw
-                if r["cls"] is not None and len(raw) >= LENGTH and int(as_long(text_keys(data, np.array([0, len(raw)])))[0]) == r["cls"]:
+                if r["k1"] is not None and len(raw) >= LENGTH and text_keys(data, np.array([0, len(raw)])).view(np.int64).tolist() == [[r["k1"], r["k2"]]]:
                     if r["doc_id"] > r["least"]:  # an equal text has a smaller id
                         spans, kept = 1, b""
                     elif r["marks"]:
@@ -291,23 +297,21 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the kept text where asked for; where a cut
     goes through a character, the text lacks the character."""
-    spark = docs.sparkSession
-    n = buckets(spark)
+    n = buckets(docs.sparkSession) // 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     by_doc, grams = shared_features(docs.filter("doc_id is not null"), text_features(), lambda m, n: m > 0)
-    by_doc = by_doc.filter("cls <> 0")
-    least = by_doc.groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    wanted = stored(grams.join(least, "cls").select(F.col("least").alias("doc_id"), "cls", "v"))
+    by_doc = by_doc.filter("k1 <> 0 or k2 <> 0")
+    key = ["k1", "k2"]
+    least = by_doc.groupBy(*key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    wanted = stored(grams.join(least, key).select(F.col("least").alias("doc_id"), *key, "v"))
     texts_ = packed_texts(docs)
-    context = texts_.join(wanted, "doc_id").select("doc_id", "z", "cls", "v").mapInArrow(_contexts(n), "bucket int, h binary, doc binary, start binary, n binary, text binary")
-    marks = stored(exchange(context, n).mapInArrow(_mark, "doc_id long, start binary, n binary"))
-    del context
-    release(spark)
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))  # at most one row from each bucket
-    copies = by_doc.join(least.filter("most > least"), "cls").filter("doc_id > least").select("doc_id", "cls", "least").distinct()
-    own = wanted.select("doc_id", "cls", F.col("doc_id").alias("least")).join(marks, "doc_id")
+    context = texts_.join(wanted, "doc_id").select("doc_id", "z", *key, "v").mapInArrow(_contexts, _CONTEXTS_DDL)
+    marks = stored(context.repartition(n, "h").sortWithinPartitions("h", "text").mapInArrow(_mark, "doc_id long, start binary, n binary"))
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("marks"))  # the marks of one text
+    copies = by_doc.join(least.filter("most > least"), key).filter("doc_id > least").select("doc_id", *key, "least").distinct()
+    own = wanted.select("doc_id", *key, F.col("doc_id").alias("least")).join(marks, "doc_id")
     plan = own.unionByName(copies, allowMissingColumns=True)
-    rows = texts_.join(plan, "doc_id", "left").select("doc_id", "z", "cls", "least", "marks")
+    rows = texts_.join(plan, "doc_id", "left").select("doc_id", "z", *key, "least", "marks")
     out = rows.mapInArrow(lambda b: _cut(b, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out if texts else out.drop("kept")
 

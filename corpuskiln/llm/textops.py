@@ -6,6 +6,7 @@ between documents, so memory is bounded by ``SLICE_BYTES`` or by the longest sin
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,12 +106,27 @@ def find_words(data: np.ndarray, off: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, off))
 
 
+LONG = 64  # bytes; polynomials modulo 2^64 collide on long ranges of a certain form, so those get a digest
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte ranges."""
+    """64-bit hashes of byte ranges: polynomials of short ones, digests of those over LONG bytes."""
     n = len(data)
     acc = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table("p", _BASE, n), out=acc[1:])
-    return mix64((acc[end] - acc[start]) * _power_table("i", _BASE_INV, n + 1)[start])
+    out = mix64((acc[end] - acc[start]) * _power_table("i", _BASE_INV, n + 1)[start])
+    far = np.flatnonzero(end - start > LONG)
+    if len(far):
+        out[far] = digests(data, start[far], end[far])[:, 0]
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests (rows of two 64-bit numbers) of ranges of an array, by their bytes; equality of them decides results."""
+    size = data.itemsize
+    raw = memoryview(np.ascontiguousarray(data).view(np.uint8).data) if len(data) else memoryview(b"")
+    out = b"".join(hashlib.blake2b(raw[lo * size : hi * size], digest_size=16).digest() for lo, hi in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(out, dtype=np.uint64).reshape(-1, 2)
 
 
 def window_hashes(items: np.ndarray, width: int) -> np.ndarray:

@@ -65,3 +65,27 @@ def test_divide_skip_counts():
         cand, count = jaccard.divide_skip(np.arange(30, dtype=np.uint64), need, lists)
         all_ = np.bincount(np.concatenate(list(lists.values())), minlength=40)
         assert dict(zip(cand.tolist(), count.tolist(), strict=True)) == {i: int(c) for i, c in enumerate(all_) if c >= need}
+
+
+def test_documents_that_share_nothing(spark):
+    for data in ([(1, "one two three four five six")], [(1, "a b c d e f"), (2, "g h i j k l m")], [(1, None), (2, "")]):
+        got = jaccard.jaccard_components(table(spark, data).repartition(13)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(data)
+
+
+def test_stars_with_several_components(spark, monkeypatch):
+    """Texts of one template whose fillings differ: stars hold several components, larger than a block."""
+    import random
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(9)
+    data = []
+    for i in range(90):
+        base = [f"t{k}" for k in range(40)]
+        kind = rng.randint(0, 6)
+        base[20:20] = [f"k{kind}_{k}" for k in range(12 + kind % 3)]
+        for _ in range(rng.randint(0, 3)):
+            base[rng.randrange(len(base))] = f"e{rng.randint(0, 5)}"
+        data.append((i, " ".join(base)))
+    got = jaccard.jaccard_components(table(spark, data)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(data)

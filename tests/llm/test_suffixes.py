@@ -57,3 +57,42 @@ def test_texts_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(table(spark, [])).count() == 0
+
+
+def test_documents_that_share_nothing(spark):
+    for data in ([(1, "a" * 70)], [(1, "some text " * 3 + "x" * 40), (2, "quite another one " + "y" * 60)], [(1, "short"), (2, "tiny")]):
+        got = suffixes.remove_repeats(table(spark, data).repartition(13)).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(data)
+
+
+def test_texts_with_equal_polynomials_are_not_equal(spark):
+    """Polynomials modulo 2^64 of these two texts agree for any odd base; no byte of them does."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    data = [(1, "".join("ab"[x] for x in bits)), (2, "".join("ba"[x] for x in bits))]
+    one, two = (np.frombuffer(t.encode(), dtype=np.uint8) for _, t in data)
+    assert (one != two).all()
+    keys = suffixes.text_keys(np.concatenate([one, two]), np.array([0, 2048, 4096]))
+    assert (keys[0] != keys[1]).any()
+    got = suffixes.remove_repeats(table(spark, data)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(data)
+
+
+def test_refine_tells_equal_strings():
+    rng = np.random.default_rng(11)
+    text = np.concatenate([rng.integers(97, 99, 300), np.tile([97, 98, 98], 100), rng.integers(97, 99, 300), np.full(200, 97)]).astype(np.uint8)
+    text = np.concatenate([text, text[:400]])
+    end = np.repeat([900, 1100, 1500], [900, 200, 400])
+    at = np.flatnonzero(np.arange(len(text)) + 50 <= end)
+    ids = suffixes.refine(text, end, at)
+    want = {}
+    for i, p in zip(ids.tolist(), at.tolist()):
+        assert want.setdefault(text[p : p + 50].tobytes(), i) == i
+    assert len(set(want.values())) == len(want)
+
+
+def test_many_contexts_of_one_gram(spark):
+    rng = __import__("random").Random(4)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(75))
+    data = [(i, "".join(rng.choice("xyzw ") for _ in range(40)) + passage[: rng.randint(55, 75)] + "".join(rng.choice("qrst") for _ in range(30))) for i in range(60)]
+    got = suffixes.remove_repeats(table(spark, data)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(data)
