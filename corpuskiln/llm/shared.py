@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import as_long, bucket_of, buckets, by_group, exchange, segments, stored
 
-FLUSH = 2_000_000  # features a task holds before it sends them on
+FLUSH = 1 << 20  # features a task holds before it sends them on
 MAX_CLASSES = 1 << 16  # classes a task holds
 
 #: For a slice of documents: distinct (document, feature) ordered by both, a number of each document, and its class key (two

@@ -36,6 +36,7 @@ from .shared import Extract, shared_features
 LENGTH = 50
 Q = 20
 SPAN = LENGTH - Q + 1  # q-grams of one string
+ROWS = 256  # texts that a task unpacks at once
 PART_ROWS = 1 << 14  # contexts that are refined together
 
 
@@ -83,7 +84,7 @@ def string_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         at = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
         first = np.repeat(first, parts) + at * SPAN
         length = np.minimum(np.repeat(length, parts) - at * SPAN, SPAN)
-    return doc[first], v[first], s[first], length
+    return doc[first], T.mix64(v[first]), s[first], length  # least hashes are small ones: mixed again, they spread over all buckets
 
 
 def text_features() -> Extract:
@@ -108,7 +109,9 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack((t or "").encode()) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
 
@@ -122,8 +125,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, packed text, k1, k2, shared q-grams) -> the contexts of the shared q-grams."""
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            rows = b.slice(at, 500)
+        for at in range(0, b.num_rows, ROWS):
+            rows = b.slice(at, ROWS)
             texts = [unpack(z) for z in rows.column(1).to_pylist()]
             data, off = np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
             ids, own = rows.column(0).to_numpy(), np.stack([rows.column(i).to_numpy().view(np.uint64) for i in (2, 3)], axis=1)
@@ -277,8 +280,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        for lo in range(0, b.num_rows, 500):
-            rows, out = b.slice(lo, 500).to_pylist(), []
+        for lo in range(0, b.num_rows, ROWS):
+            rows, out = b.slice(lo, ROWS).to_pylist(), []
             for r in rows:
                 raw = unpack(r["z"])
                 data = np.frombuffer(raw, dtype=np.uint8)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SLICE_DOCS = 4096
 
 #: The separators of the word rule ``[^\x20\x09-\x0D]+``; all are ASCII, so the rule holds on UTF-8 bytes as well.
