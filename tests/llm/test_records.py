@@ -38,7 +38,7 @@ def test_base_spans_equal_plain_regexes(spark):
 
 def test_random_field_finds_secrets_only():
     text = 'here token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and the rest, "quoted" words: 12 = 4'
-    (found,) = pii.secrets([text], pii.train())
+    (found,) = pii.secrets([text], pii.Field(pii.train()))
     assert [text[a:b] for a, b in found] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]
 
 
