@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
+def records(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text (and ``more``) in the types that operators take.
+
+    Rows go to Python in batches of BATCH_ROWS, so that whole texts need little memory on either side; a session that asks
+    for smaller ones keeps its own."""
+    spark = docs.sparkSession
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
 def buckets(spark: SparkSession) -> int:
     """Number of hash buckets of an exchange: four to each of the session's shuffle partitions, which follow the input.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import batch, crc_mod, documents
+from .common import batch, crc_mod, documents, records
 
 DIM = 1 << 13
 ORDERS = (1, 2, 3, 4)
@@ -123,7 +123,7 @@ def _presence_rows(docs: DataFrame) -> DataFrame:
                 bits = np.packbits(presence(part, o), axis=1)
                 yield batch(schema, doc_id=b.column(0).take(pa.array(good + lo)), lang=b.column(2).take(pa.array(good + lo)), bits=[bits[i].tobytes() for i in good])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "doc_id long, lang string, bits binary")
+    return records(docs, F.col("lang").cast("string").alias("lang")).mapInArrow(run, "doc_id long, lang string, bits binary")
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     score[good] = np.clip((s[np.arange(len(s)), best][good] + 1) / 2, 0, 1)
                 yield batch(schema, doc_id=b.column(0).slice(lo, hi - lo), lang_pred=pa.array(pred.tolist(), pa.string()), score=score)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return records(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op1_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

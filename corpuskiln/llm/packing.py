@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import batch, buckets, documents, stored
+from .common import batch, buckets, documents, records, stored
 
 MAX_LEN = 1024
 SPECIAL = "<|endoftext|>"
@@ -42,7 +42,7 @@ class Encoder:
     always cuts), the distinct chunks of a slice are encoded once with the same ranks, and ids are gathered by numpy.
     Texts that hold the special token's string go through the ``tokenizers`` library itself."""
 
-    CACHE = 200_000
+    CACHE = 50_000
 
     def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
@@ -52,7 +52,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.json_path, self._whole = json_path, None
-        self.cache: dict[int, list[int]] = {}
+        self.cache: dict[bytes, list[int]] = {}
         visible = np.zeros(256, dtype=bool)
         visible[0x21:0x7F] = True
         visible[0xC3] = True  # leads U+00C0..U+00FF, none of which is white space
@@ -83,13 +83,14 @@ class Encoder:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         h = T.range_hashes(data, start, end)
-        uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        _, at, inv = np.unique(h, return_index=True, return_inverse=True)
         raw, cache, encode = data.tobytes(), self.cache, self.bpe.encode_ordinary
         ids = []
-        for key, s, e in zip(uniq.tolist(), start[at].tolist(), end[at].tolist(), strict=True):
+        for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True):
+            key = raw[s:e]
             got = cache.get(key)
             if got is None:
-                got = encode(raw[s:e].decode("utf-8", "replace"))
+                got = encode(key.decode("utf-8", "replace"))
                 if len(cache) >= self.CACHE:
                     cache.clear()
                 if e - s < 64:
@@ -180,7 +181,7 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, with_ids: bool = False, path
                         kept.append(p.astype(np.int32) if with_ids else None)
                 yield batch(_PIECES, doc_id=b.column(0).take(pa.array(doc, pa.int64())), start=start, length=length, ids_crc32=crc, doc_tokens=total, ids=kept)
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
+    out = records(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>")
     return out if with_ids else out.drop("ids")
 
 

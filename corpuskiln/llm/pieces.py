@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents
+from .common import batch, documents, records
 
 MARK = "▁"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -205,7 +205,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 texts = [t or "" for t in b.column(1).slice(lo, SLICE).to_pylist()]
                 yield batch(schema, doc_id=b.column(0).slice(lo, SLICE), ids=model.encode(texts))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return records(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -235,7 +235,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = model.encode(texts)
                 yield batch(schema, doc_id=b.column(0).slice(lo, SLICE), n_pieces=[len(x) for x in ids], ids_crc32=[zlib.crc32(x.astype("<u4").tobytes()) for x in ids], n_bytes=[len(t.encode()) for t in texts], exact=[model.decode(x) == t for x, t in zip(ids, texts, strict=True)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, exact boolean")
+    return records(docs).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_bytes long, exact boolean")
 
 
 def op8_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import batch, documents
+from .common import batch, documents, records
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
@@ -438,7 +438,7 @@ def find_personal_data(docs: DataFrame, redacted: bool = False) -> DataFrame:
                     redacted=[redact(t, s) for t, s in zip(texts, both, strict=True)] if redacted else [None] * len(texts),
                 )
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_plain(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, redacted string")
+    out = records(docs).mapInArrow(_plain(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, redacted string")
     return out if redacted else out.drop("redacted")
 
 

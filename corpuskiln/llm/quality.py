@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import batch, documents
+from .common import batch, documents, records
 
 WINDOW = 8
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -122,7 +122,7 @@ def ledger(docs: DataFrame) -> DataFrame:
             got = [measure(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in T.slices(off)]
             yield batch(_SCHEMA, doc_id=b.column(0), **{m: np.concatenate([g[m] for g in got]).astype(np.int64) if got else [] for m in _MEASURES})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in _MEASURES))
+    rows = records(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in _MEASURES))
     bits = [F.when(F.expr(cond), F.lit(BIT[name])).otherwise(F.lit(0)) for name, cond in RULES]
     mask = bits[0]
     for b in bits[1:]:

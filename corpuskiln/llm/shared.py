@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import as_long, bucket_of, buckets, by_group, exchange, segments, stored
+from .common import as_long, bucket_of, buckets, by_group, exchange, records, segments, stored
 
 FLUSH = 1 << 20  # features a task holds before it sends them on
 MAX_CLASSES = 1 << 16  # classes a task holds
@@ -115,7 +115,7 @@ def _class_features(docs: DataFrame, extract: Extract, n_buckets: int) -> DataFr
         if held:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)
+    return records(docs).mapInArrow(run, _DDL)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

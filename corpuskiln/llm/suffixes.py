@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import batch, buckets, documents, segments, stored, u64
+from .common import batch, buckets, documents, records, segments, stored, u64
 from .shared import Extract, shared_features
 
 LENGTH = 50
@@ -301,7 +301,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the kept text where asked for; where a cut
     goes through a character, the text lacks the character."""
     n = buckets(docs.sparkSession) // 4
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = records(docs)
     by_doc, grams = shared_features(docs.filter("doc_id is not null"), text_features(), lambda m, n: m > 0)
     by_doc = by_doc.filter("k1 <> 0 or k2 <> 0")
     key = ["k1", "k2"]
