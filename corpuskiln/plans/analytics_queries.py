@@ -60,9 +60,9 @@ def daily_usage(spark, sf):
     return A.daily_quota(A.counts_by_day(table(spark, sf, "events"), "ts", "user_id"), 5)
 
 
-@query("usage_calendar", "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE user_id < 20 GROUP BY 1) SELECT strftime(c, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS c) LEFT JOIN d ON d.day = strftime(c, '%Y-%m-%d')")
+@query("usage_calendar", "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1) SELECT strftime(c, '%Y-%m-%d') AS day, coalesce(n, 0)::BIGINT AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS c) LEFT JOIN d ON d.day = strftime(c, '%Y-%m-%d')")
 def usage_calendar(spark, sf):
-    return A.calendar_fill(A.counts_by_day(table(spark, sf, "events").filter("user_id < 20"), "ts"), AS_OF, 30)
+    return A.calendar_fill(A.counts_by_day(table(spark, sf, "events"), "ts"), AS_OF, 30)
 
 
 @query("activity_30_7", "SELECT user_id, count(*) AS n_total, count(*) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY AND ts < TIMESTAMP '2024-01-31') AS n_30d, count(*) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAY AND ts < TIMESTAMP '2024-01-31') AS n_7d FROM events GROUP BY user_id")
@@ -124,10 +124,9 @@ def cache_hit_rate(spark, sf):
     return table(spark, sf, "events").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses")).withColumn("hit_rate", F.round(F.col("hits") / F.greatest(F.lit(1), F.col("hits") + F.col("misses")), 6))
 
 
-@query("list_by_type", "SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events WHERE user_id = 7 GROUP BY event_type")
+@query("list_by_type", "SELECT user_id, event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id, event_type")
 def list_by_type(spark, sf):
-    rows = table(spark, sf, "events").filter("user_id = 7")
-    return rows.groupBy("event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("session_windows", "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM s) SELECT user_id, min(ts) AS started, count(*) AS n FROM g GROUP BY user_id, sid")

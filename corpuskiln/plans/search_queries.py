@@ -8,7 +8,7 @@ from corpuskiln.operators import search as S
 from corpuskiln.registry import query, table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
-_KNN = f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, {_COS} AS score, e.label FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id"
+_KNN = f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, {_COS} AS score, e.label FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id"
 _TERMS = "SELECT {id} AS {key}, term, count(*) AS tf FROM (SELECT {id}, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM {table}) WHERE term <> '' GROUP BY 1, 2"
 _BM25 = f"""
 WITH d AS ({_TERMS.format(id="doc_id", key="point_id", table="documents")}), q AS (SELECT DISTINCT query_id, term FROM ({_TERMS.format(id="item_id", key="query_id", table="benchmark")})),
@@ -18,8 +18,9 @@ s AS (SELECT query_id, point_id, sum(tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l
 """
 
 
-def _queries(spark, sf, n: int = 20):
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+def _queries(spark, sf):
+    """The stated query set: every row whose id is divisible by 20."""
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
 
 def _corpus(spark, sf):
@@ -27,7 +28,7 @@ def _corpus(spark, sf):
 
 
 def _hits(spark, sf, top: int | None = None, least: float | None = None):
-    """Hits of the first 20 vectors taken as the stated query set, against all rows."""
+    """Hits of the stated query set against all rows, but for each query itself."""
     hits = S.similar_pairs(_queries(spark, sf), _corpus(spark, sf), least=least, top=None if top is None else top + 1)
     return hits.filter("query_id <> point_id").drop("rank")
 
@@ -37,20 +38,19 @@ def knn_cosine(spark, sf):
     return S.ranked(_hits(spark, sf, 10), "query_id", 10).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("cosine_columns", f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id < 5")
+@query("cosine_columns", f"SELECT q.vec_id AS query_id, e.vec_id AS point_id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 20 = 0")
 def cosine_columns(spark, sf):
     """The same measure as plain column work, on pairs that an equi-join makes."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("point_id"), F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    return e.join(q, "label").select("query_id", F.col("vec_id").alias("point_id"), F.round(S.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
 
 
-@query("similarity_alerts", f"SELECT point_id, label, query_id, round(score, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY point_id, label ORDER BY score DESC, query_id) AS r FROM (SELECT e.vec_id AS point_id, q.vec_id AS query_id, q.label, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND e.vec_id >= 20) WHERE score >= 0.3) WHERE r = 1")
+@query("similarity_alerts", f"SELECT point_id, label, query_id, round(score, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY point_id, label ORDER BY score DESC, query_id) AS r FROM (SELECT e.vec_id AS point_id, q.vec_id AS query_id, q.label, {_COS} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE score >= 0.3) WHERE r = 1")
 def similarity_alerts(spark, sf):
-    """New vectors against saved questions: per new vector and owner of questions, the best question above a threshold."""
-    hits = S.similar_pairs(_queries(spark, sf), _corpus(spark, sf).filter("point_id >= 20"), least=0.3)
-    owner = table(spark, sf, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    best = S.best_per_key(hits.join(F.broadcast(owner), "query_id"), ["point_id", "label"], F.asc("query_id"))
+    """All vectors against saved questions: per vector and owner of questions, the best question above a threshold."""
+    owner = table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    best = S.best_per_key(_hits(spark, sf, least=0.3).join(owner, "query_id"), ["point_id", "label"], F.asc("query_id"))
     return best.select("point_id", "label", "query_id", F.round("score", 4).alias("similarity"))
 
 
@@ -61,20 +61,20 @@ def bm25_topk(spark, sf):
     return S.ranked(S.bm25(asked, docs).withColumn("score", F.round("score", 6)), "query_id", 5)
 
 
-@query("rrf_fusion", f"WITH h AS ({_KNN}), a AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM h), b AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(point_id - query_id), point_id) AS rank FROM h), f AS (SELECT query_id, point_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a WHERE rank <= 60 UNION ALL SELECT * FROM b WHERE rank <= 60) GROUP BY 1, 2) SELECT query_id, point_id, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM f) WHERE rank <= 10")
+@query("rrf_fusion", f"WITH h AS ({_KNN}), a AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM h), g AS (SELECT q.vec_id AS query_id, e.vec_id AS point_id, list_cosine_similarity(q.embedding[1:16]::DOUBLE[], e.embedding[1:16]::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id), b AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM g), f AS (SELECT query_id, point_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a WHERE rank <= 60 UNION ALL SELECT * FROM b WHERE rank <= 60) GROUP BY 1, 2) SELECT query_id, point_id, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM f) WHERE rank <= 10")
 def rrf_fusion(spark, sf):
-    """Fusion of a cosine ranking and a distance-of-ids ranking."""
+    """Fusion of the ranking by whole vectors and the ranking by their first 16 components."""
     near = S.ranked(_hits(spark, sf, 60), "query_id", 60)
-    ids = _queries(spark, sf).select("query_id")
-    by_id = _corpus(spark, sf).select("point_id").join(F.broadcast(ids), F.col("point_id") != F.col("query_id")).withColumn("score", -F.abs(F.col("point_id") - F.col("query_id")))
-    fused = S.fuse([near, S.ranked(by_id, "query_id", 60)]).withColumn("score", F.round("score", 9))
+    first = lambda df: df.withColumn("vec", F.slice("vec", 1, 16))
+    coarse = S.similar_pairs(first(_queries(spark, sf)), first(_corpus(spark, sf)), top=61).filter("query_id <> point_id").drop("rank")
+    fused = S.fuse([near, S.ranked(coarse, "query_id", 60)]).withColumn("score", F.round("score", 9))
     return S.ranked(fused, "query_id", 10).select("query_id", "point_id", "score", "rank")
 
 
-@query("variant_merge", f"SELECT query_id, point_id, variant, round(score, 6) AS score FROM (SELECT query_id % 5 AS query_id, point_id, query_id AS variant, score, row_number() OVER (PARTITION BY query_id % 5, point_id ORDER BY score DESC, query_id) AS r FROM ({_KNN})) WHERE r = 1")
+@query("variant_merge", f"SELECT query_id, point_id, variant, round(score, 6) AS score FROM (SELECT query_id // 20 % 5 AS query_id, point_id, query_id AS variant, score, row_number() OVER (PARTITION BY query_id // 20 % 5, point_id ORDER BY score DESC, query_id) AS r FROM ({_KNN})) WHERE r = 1")
 def variant_merge(spark, sf):
     """Several variants of a question: the best score of each point."""
-    hits = _hits(spark, sf, least=-2).select((F.col("query_id") % 5).alias("q"), "point_id", F.col("query_id").alias("variant"), "score").withColumnRenamed("q", "query_id")
+    hits = _hits(spark, sf, least=-2).select(F.expr("query_id div 20 % 5").alias("q"), "point_id", F.col("query_id").alias("variant"), "score").withColumnRenamed("q", "query_id")
     return S.best_per_key(hits, ["query_id", "point_id"], F.asc("variant")).select("query_id", "point_id", "variant", F.round("score", 6).alias("score"))
 
 

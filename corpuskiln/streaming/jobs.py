@@ -71,11 +71,24 @@ def latest_index(spark, index_path: str) -> DataFrame:
     return rows.groupBy("point_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "point_id"]), "batch").alias("r")).select("point_id", "r.*").drop("batch")
 
 
+def newest_version(spark, out_path: str, before: int) -> int | None:
+    """The greatest finished version under ``out_path`` that is less than ``before``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/version=*/_SUCCESS"))
+    found = [int(f.getPath().getParent().getName().partition("=")[2]) for f in done or []]
+    return max((v for v in found if v < before), default=None)
+
+
 def upsert_into(base_path: str, out_path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes base merged with the batch as a new version."""
+    """A foreachBatch function that writes the newest earlier version (at first: base) merged with the batch as a new version.
+
+    A batch that runs again starts from the same earlier version, so it gives the same rows."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        base = batch.sparkSession.read.parquet(base_path)
+        spark = batch.sparkSession
+        last = newest_version(spark, out_path, epoch)
+        base = spark.read.parquet(base_path if last is None else f"{out_path}/version={last}")
         merge_by_key(base, batch.dropDuplicates(keys), keys).write.mode("overwrite").parquet(f"{out_path}/version={epoch}")
 
     return write
