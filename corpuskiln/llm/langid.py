@@ -92,7 +92,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, l
     top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # a language's smallest hashes lie below this bound, so that only a few rows of each language go on
-    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(top), "lang").filter(F.col("place") * F.col("n") < F.lit(8 * per_lang << 30))
+    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(top), "lang").filter(F.col("place") < F.lit(float(8 * per_lang << 30)) / F.col("n"))
     ids = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("r") <= per_lang)
     picked = ids.select("doc_id").distinct()
     sample = known.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text", "lang")  # at most per_lang * max_langs ids
@@ -152,4 +152,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def op1_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs.filter(crc_mod("doc_id", 3) != 1))
-    return predict(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
