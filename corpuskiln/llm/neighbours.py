@@ -1,11 +1,17 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Every pass orders all distinct vectors lexicographically by the concatenated signs of its own random projections and
-compares each with its ``window`` successors; pairs with cosine >= ``THRESHOLD`` (double precision) are verified links.
+Every pass orders all distinct vectors lexicographically by concatenated bits of its own random projections and compares each
+with its ``window`` successors; pairs with cosine >= ``THRESHOLD`` (double precision) are verified links. The first bits
+split at medians and the later ones at the medians of the cell that the first ones lead to, so that a crowded cone is
+split as finely as evenly spread vectors are. The medians come from a sample of at most ``SAMPLE`` distinct vectors (those
+of the least hashes, ``SAMPLE_BYTES`` at most); every vector takes part in every pass.
+
 Links of all passes are united to components, and inside each component all links are counted by blocks of vectors, so
 that ``n_links`` is complete within a component and no pair is ever a row. Equal vectors form one class and count as
-often as they occur. Recall is that of the passes: links between vectors that no pass brings within a window and no
-chain of links joins are missed (the tests measure it against brute force).
+often as they occur. Links between vectors that no pass brings within a window and no chain of links joins are missed. So
+the first ``PROBES`` vectors of the sample are compared with all vectors, and rounds of further passes, each with twice the
+window of the round before, follow until the passes have found ``TARGET`` of their links (of all, and on average over
+the probes that have any). As the window reaches the number of vectors in the end, the rounds always stop.
 
 Cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of different
 lengths do not link; a null ``vec_id`` stands alone with null component; repeated rows count as vectors of their own;
@@ -23,14 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import as_long, batch, buckets, by_key, connected, exchange, stored
+from .common import as_long, batch, buckets, by_key, connected, exchange, segments, stored
 
 THRESHOLD = 0.9
 PASSES = 16
 BITS = 32
-WINDOW = 32
+WINDOW = 256
 BLOCK = 512
 SEED = 20240501
+SAMPLE = 8192
+SAMPLE_BYTES = 32 << 20
+PROBES = 4096
+LEVELS = 8  # bits that split at the medians of all cells before
+CELL = 32  # sampled vectors that a cell has at least on average
+TARGET = 0.95
 
 _VECTORS = pa.schema([("vec_id", pa.int64()), ("cls", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary())])
 
@@ -59,25 +71,55 @@ def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _signs(dim: int, passes: int) -> np.ndarray:
-    return np.random.default_rng(SEED + dim).standard_normal((dim, passes * BITS))
+def _signs(dim: int, number: int) -> np.ndarray:
+    """Random directions of one pass."""
+    return np.random.default_rng([SEED, dim, number]).standard_normal((dim, BITS))
+
+
+def _sample(distinct: DataFrame) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Classes and unit vectors of a bounded sample for each length of vectors: those of the least hashes."""
+    widest = distinct.agg(F.max(F.length("vec"))).first()[0] or 1
+    rows = distinct.orderBy("cls").select("cls", "dim", "vec").limit(max(1, min(SAMPLE, SAMPLE_BYTES // widest))).collect()
+    dims = sorted({r.dim for r in rows})
+    return {d: ([r.cls for r in rows if r.dim == d], _matrix([bytes(r.vec) for r in rows if r.dim == d], d)) for d in dims}
+
+
+def _medians(x: np.ndarray, number: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where one pass splits: for each of the first bits a place for each cell so far, for the others one for each last cell."""
+    z = x @ _signs(x.shape[1], number)
+    levels = max(0, min(LEVELS, int(np.log2(max(1, len(x) / CELL)))))
+    cell, splits = np.zeros(len(x), dtype=np.int64), []
+    for level in range(levels):
+        splits.append(np.array([np.median(z[cell == c, level]) if (cell == c).any() else 0.0 for c in range(1 << level)]))
+        cell = 2 * cell + (z[:, level] >= splits[-1][cell])
+    last = [np.median(z[cell == c, levels:], axis=0) if (cell == c).any() else np.zeros(BITS - levels) for c in range(1 << levels)]
+    return splits, np.array(last)
+
+
+def _key(x: np.ndarray, number: int, places: tuple[list[np.ndarray], np.ndarray] | None) -> np.ndarray:
+    """The bits of one pass as one number; without a sample of such vectors, the signs of the projections."""
+    z = x @ _signs(x.shape[1], number)
+    splits, last = places or ([], np.zeros((1, BITS)))
+    key = np.zeros(len(x), dtype=np.int64)
+    for level, at in enumerate(splits):
+        key = 2 * key + (z[:, level] >= at[key])
+    later = z[:, len(splits) :] >= last[key]
+    return (key << later.shape[1]) + later @ (np.int64(1) << np.arange(later.shape[1] - 1, -1, -1, dtype=np.int64))
 
 
 _SORTED = pa.schema([("pass", pa.int32()), ("dim", pa.int32()), ("key", pa.int64()), ("cls", pa.int64()), ("vec", pa.binary())])
 
 
-def _keys(passes: int):
+def _keys(numbers: range, places):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for b in batches:
             dims = b.column(1).to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                part = b.take(pa.array(at))
-                x = _matrix(part.column(2).to_pylist(), int(dim))
-                keys = ((x @ _signs(int(dim), passes) >= 0).reshape(len(x), passes, BITS) * weight).sum(axis=2)
-                for p in range(passes):
-                    yield batch(_SORTED, **{"pass": np.full(len(x), p, dtype=np.int32), "dim": np.full(len(x), dim, dtype=np.int32), "key": keys[:, p], "cls": part.column(0), "vec": part.column(2)})
+            for dim in np.unique(dims).tolist():
+                part = b.take(pa.array(np.flatnonzero(dims == dim)))
+                x = _matrix(part.column(2).to_pylist(), dim)
+                for p in numbers:
+                    key = _key(x, p, places.value.get((dim, p)))
+                    yield batch(_SORTED, **{"pass": np.full(len(x), p, dtype=np.int32), "dim": np.full(len(x), dim, dtype=np.int32), "key": key, "cls": part.column(0), "vec": part.column(2)})
 
     return run
 
@@ -116,9 +158,15 @@ def _compare(passes: np.ndarray, dims: np.ndarray, cls: np.ndarray, vecs: list[b
             s = x[lo:hi] @ x[lo : hi + window].T
             i, j = np.nonzero(s >= THRESHOLD)
             near = (j > i) & (j - i <= window) & (at[lo + np.minimum(j, len(at) - 1 - lo)] >= old)
-            for a, b in zip(cls[at[lo + i[near]]].tolist(), cls[at[lo + j[near]]].tolist(), strict=True):
-                if forest.join(a, b):
-                    out.append((a, b))
+            i, j = i[near], j[near]
+            group = np.arange(min(len(at), hi + window) - lo)  # rows of this block that are joined already
+            for begin, end in zip(*segments(i), strict=True):
+                row, others = i[begin], j[begin:end]
+                while len(others := others[group[others] != group[row]]):
+                    a, b = int(cls[at[lo + row]]), int(cls[at[lo + others[0]]])
+                    if forest.join(a, b):
+                        out.append((a, b))
+                    group[group == group[others[0]]] = group[row]
     return out
 
 
@@ -162,11 +210,12 @@ def _seams(window: int):
     return run
 
 
-def pass_links(distinct: DataFrame, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """Spanning links (a, b) between classes that the passes verify."""
-    n = distinct.count() * passes
+def pass_links(distinct: DataFrame, sample: dict[int, tuple[list[int], np.ndarray]], numbers: range, window: int = WINDOW) -> DataFrame:
+    """Spanning links (a, b) between classes that the passes of these numbers verify."""
+    n = distinct.count() * len(numbers)
     parts = max(1, min(buckets(distinct.sparkSession) // 4, n // (16 * window)))
-    keyed = distinct.select("cls", "dim", "vec").mapInArrow(_keys(passes), "pass int, dim int, key long, cls long, vec binary")
+    places = distinct.sparkSession.sparkContext.broadcast({(d, p): _medians(x, p) for d, (_, x) in sample.items() for p in numbers})  # at most BITS x 2^LEVELS numbers a pass
+    keyed = distinct.select("cls", "dim", "vec").mapInArrow(_keys(numbers, places), "pass int, dim int, key long, cls long, vec binary")
     order = ["pass", "dim", "key", "cls"]
     found = stored(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_windows(window), _LINKS_DDL))
     # the last rows of one range and the first of the next have the same ``side``
@@ -174,6 +223,35 @@ def pass_links(distinct: DataFrame, passes: int = PASSES, window: int = WINDOW)
     return found.filter("a is not null").select("a", "b").unionByName(seams.select("a", "b"))
 
 
+def recall(distinct: DataFrame, roots: DataFrame, sample: dict[int, tuple[list[int], np.ndarray]]) -> float:
+    """Share of the probes' links, by comparison with all vectors, whose ends are in one component: the lesser of the share
+    of all their links and its average over the probes that have any. 1 where they have none."""
+    spark = distinct.sparkSession
+    probes = {d: (c[:PROBES], x[:PROBES]) for d, (c, x) in sample.items()}
+    asked = spark.createDataFrame([(c,) for cs, _ in probes.values() for c in cs], "cls long")
+    root = {r.cls: r.root for r in asked.join(roots, asked.cls == roots.node).select("cls", "root").collect()}  # one row a probe at most
+    sent = spark.sparkContext.broadcast({d: (np.array(c), x, np.array([root.get(k, k) for k in c])) for d, (c, x) in probes.items()})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {d: np.zeros((2, len(c)), dtype=np.int64) for d, (c, _, _) in sent.value.items()}
+        for b in batches:
+            dims, cls, tops = (b.column(k).to_numpy() for k in (0, 1, 2))
+            for dim in set(np.unique(dims).tolist()) & set(sums):
+                c, x, r = sent.value[dim]
+                rows = np.flatnonzero(dims == dim)
+                for lo in range(0, len(rows), BLOCK):
+                    at = rows[lo : lo + BLOCK]
+                    near = (_matrix(b.column(3).take(pa.array(at)).to_pylist(), dim) @ x.T >= THRESHOLD) & (cls[at][:, None] != c)
+                    sums[dim] += np.stack([near.sum(axis=0), (near & (tops[at][:, None] == r)).sum(axis=0)])
+        for dim, (links, found) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[dim][0][links > 0]), pa.array(links[links > 0]), pa.array(found[links > 0])], names=["cls", "links", "found"])
+
+    placed = distinct.join(roots, distinct.cls == roots.node, "left").select("dim", "cls", F.coalesce("root", "cls").alias("root"), "vec")
+    per = placed.mapInArrow(compare, "cls long, links long, found long").groupBy("cls").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+    got = per.agg(F.sum("found") / F.sum("links"), F.avg(F.col("found") / F.col("links"))).first()
+    return 1.0 if got[0] is None else min(got)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In a pair of blocks of a component: linked copies of each class on the other side."""
     schema = pa.schema([("cls", pa.int64()), ("linked", pa.int64())])
@@ -201,8 +279,13 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WIND
     good = rows.filter("cls is not null")
     classes = good.groupBy("cls").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
     distinct = stored(good.join(classes, "cls").filter("vec_id = class_id").dropDuplicates(["cls"]).select("cls", "dim", "vec", "class_id", "copies"))
-    links = stored(pass_links(distinct, passes, window))
-    roots = connected(links, spark)
+    sample, rounds, roots = _sample(distinct), 0, None
+    while roots is None or recall(distinct, roots, sample) < TARGET:
+        links = pass_links(distinct, sample, range(rounds * passes, (rounds + 1) * passes), window << rounds)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = connected(stored(links), spark)
+        rounds += 1
     members = distinct.join(roots, distinct.cls == roots.node).select("root", "cls", "dim", "vec", "copies")
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = members.join(blocks, "root").withColumn("block", F.expr("pmod(xxhash64(cls), blocks)").cast("int"))

@@ -26,6 +26,26 @@ def test_recall_and_cases(spark):
     assert got[None].component_id is None and not got[None].kept
 
 
+def test_recall_of_lone_pairs_in_a_crowded_cone(spark):
+    """A third of all rows lie in a cone (cosine about 0.7 to each other); pairs at 0.905 are the only links."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre, n = unit(rng.standard_normal(64)), 6000
+    x = unit(rng.standard_normal((n, 64)))
+    x[: n // 3] = unit(np.sqrt(0.7) * centre + np.sqrt(0.3) * x[: n // 3])
+    for i in [*range(0, 600, 2), *range(n // 3, n // 3 + 600, 2)]:
+        aside = rng.standard_normal(64)
+        aside = unit(aside - (aside @ x[i]) * x[i])
+        x[i + 1] = 0.905 * x[i] + np.sqrt(1 - 0.905**2) * aside
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(frame, passes=6, window=16).collect()}
+    s = x @ x.T >= 0.9
+    np.fill_diagonal(s, False)
+    for lo, hi in ((0, n // 3), (n // 3, n)):
+        assert s[lo:hi].sum() >= 0.9 * 600 and sum(got[i] for i in range(lo, hi)) >= 0.9 * s[lo:hi].sum()
+    assert all(got[i] <= s[i].sum() for i in range(n))
+
+
 def test_empty_table(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
