@@ -67,3 +67,13 @@ def length_stats(df: DataFrame, column: str, *keys: str) -> DataFrame:
 def histogram(df: DataFrame, value: Column, width: int, bins: int) -> DataFrame:
     """Rows per bucket of ``width``; the last bucket takes the rest."""
     return df.groupBy(F.least(F.floor(value / width), F.lit(bins - 1)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def in_order(df: DataFrame, key: str, order: list[Column], place: str) -> DataFrame:
+    """All rows of each key with their place in the given order."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def winner(a: Column, b: Column, first: str, second: str) -> Column:
+    """Who has the higher score: null where the second has none."""
+    return F.when(b.isNull(), F.lit(None)).when(a > b, first).when(b > a, second).otherwise("tie")

@@ -168,3 +168,70 @@ def fan_out(hits: DataFrame, query: str, kind: str, total: int, kinds: int) -> D
     """Best of each kind (ceil(total / kinds) + 2), merged, then the best ``total`` of each query."""
     per = -(-total // kinds) + 2
     return ranked(ranked(hits, [query, kind], per).drop("rank"), query, total)
+
+
+# The publishers of each source type.
+PUBLISHERS = {
+    "legislation": ["WDU", "WMP"],
+    "judgment_nsa": ["ADMINISTRATIVE"],
+    "judgment_sn": ["SUPREME"],
+    "judgment_tk": ["CONSTITUTIONAL_TRIBUNAL"],
+    "judgment_common": ["COMMON"],
+    "judgment_kio": ["NATIONAL_APPEAL_CHAMBER"],
+    "tax_interpretation": ["KIS"],
+}
+
+
+def corpus_filters(
+    source_type: str | None = None,
+    publisher: str | None = None,
+    year: int | None = None,
+    year_from: int | None = None,
+    year_to: int | None = None,
+    as_of_year: int | None = None,
+    exclude_repealed: bool = False,
+) -> list[Column]:
+    """Filters on publisher, year (text), valid_from_year and is_repealed. What is repealed or not yet valid goes only where
+    the source type may be legislation; an unknown source type filters nothing."""
+    may_be_law = source_type in (None, "legislation", "tax_interpretation")
+    out = []
+    if exclude_repealed and may_be_law:
+        out.append(~F.col("is_repealed"))
+    if as_of_year is not None and may_be_law:
+        out.append(F.col("valid_from_year") <= as_of_year)
+    if year:
+        out.append(F.col("year") == str(year))
+    if year_from:
+        out.append(F.col("year") >= str(year_from))
+    if year_to:
+        out.append(F.col("year") <= str(year_to))
+    if publisher:
+        out.append(F.col("publisher") == publisher)
+    if source_type in PUBLISHERS:
+        out.append(F.col("publisher").isin(PUBLISHERS[source_type]))
+    return out
+
+
+def second_ranking(pool: DataFrame, query: str, k: int, first: Column, second: Column) -> DataFrame:
+    """The best ``k`` of each query by the second score, or by the first where no more than ``k`` candidates are there."""
+    crowded = F.count("*").over(Window.partitionBy(query)) > k
+    return pool.withColumn("reranked", crowded).withColumn("score", F.when(F.col("reranked"), second).otherwise(first))
+
+
+def expandable(hits: DataFrame, query: str, kind: str) -> DataFrame:
+    """Marks the queries whose hits may get their neighbours: those without any child chunk."""
+    child = F.max(F.coalesce(F.col(kind) == "child", F.lit(False))).over(Window.partitionBy(query))
+    return hits.withColumn("expand", ~child)
+
+
+def with_private(public: DataFrame, private: DataFrame, owner: Column, query: str, most_private: int = 5, most: int = 8) -> DataFrame:
+    """Public hits and the asking user's own, best first; private rows of other users never join."""
+    own = ranked(private.filter(owner), query, most_private).drop("rank").withColumn("source", F.lit("private"))
+    both = public.drop("rank").withColumn("source", F.lit("public")).unionByName(own.select(*public.drop("rank").columns, "source"))
+    return ranked(both, query, most, "source", "point_id")
+
+
+def gathered(steps: DataFrame, query: str, keys: list[str], step: str) -> DataFrame:
+    """Hits of all steps of an agent, each once, as the first step that found it gave it."""
+    first = F.min_by(F.struct(*(c for c in steps.columns if c not in (query, *keys))), step).alias("_first")
+    return steps.groupBy(query, *keys).agg(first).select(query, *keys, "_first.*")

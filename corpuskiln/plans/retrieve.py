@@ -68,7 +68,8 @@ class Retriever:
         fused = S.ranked(S.fuse([within(dense), within(sparse)], self.rrf_k), "query_id", most)
         if self.rerank:
             pool = fused.drop("score", "rank").join(corpus.select("point_id", "text"), "point_id").join(questions, "query_id")
-            fused = pool.select("query_id", "point_id", F.round(self.score(F.col("question"), F.col("text")), 4).alias("score"))
+            pool = pool.join(fused.select("query_id", "point_id", F.col("score").alias("fused")), ["query_id", "point_id"])
+            fused = S.second_ranking(pool, "query_id", self.top_k, F.col("fused"), F.round(self.score(F.col("question"), F.col("text")), 4))
         hits = S.ranked(fused.select("query_id", "point_id", "score"), "query_id", self.top_k)
         if self.gate:
             hits = S.gate(hits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW = "id string, title string, year string, publisher string, pos string, url string, raw_text string, status string"
@@ -96,3 +96,26 @@ def canonical(*sources: DataFrame) -> DataFrame:
         s = s.select(*[F.col(c).cast("string").alias(c) for c in names if c in s.columns])
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
     return out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in names))
+
+
+def is_judgment(saos_id: Column, court_type: Column) -> Column:
+    """Is a record a judgment, by a court id or type? Any other is an act."""
+    return saos_id.isNotNull() | court_type.isNotNull()
+
+
+def counts_by_file(df: DataFrame, name: str) -> DataFrame:
+    """Records of each file; ``name`` is the pattern of a file's name in its path, so parts of one table count together."""
+    return df.groupBy(F.regexp_extract(F.input_file_name(), name, 1).alias("file")).agg(F.count("*").alias("n"))
+
+
+def judgment_parts(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """A judgment's sections (thesis, ruling, preamble, justification) in order, each behind the prefix; short ones other than
+    the justification go, and where none is left the ``full`` text stands for all."""
+    least = 50
+    joined = lambda c: F.trim(F.concat(prefix, F.trim(F.coalesce(F.col(c), F.lit("")))))
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    part = lambda c: F.struct(F.lit(c).alias("section"), joined(c).alias("text"))
+    short = [F.when(filled(c) & (F.length(joined(c)) >= least), part(c)) for c in ("thesis", "ruling", "preamble")]
+    some = F.array_compact(F.array(*short, F.when(filled("justification"), part("justification"))))
+    kept = F.when(F.size(some) > 0, some).otherwise(F.array(part("full")))
+    return df.select(key, F.posexplode(kept).alias("place", "p")).select(key, "place", "p.section", "p.text")
