@@ -1,12 +1,12 @@
 """Hybrid retrieval for batches of queries: dense and sparse legs, fusion, gates, context.
 
-A corpus stays partitioned; a query table goes to it by broadcast only while ``small`` finds it under a checked number
-of rows, and by shuffle otherwise. Per-query limits are window ranks, so they plan to WindowGroupLimit.
+A corpus stays partitioned; vectors of queries meet it in tiles of one exchange, and other query tables go to it by broadcast
+only while ``small`` finds them under a checked number of rows. Per-query limits are window ranks, so they plan to WindowGroupLimit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,48 +31,56 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float | None = None, top: int | None = None) -> DataFrame:
-    """(query_id, point_id, score) by cosine: all scores >= ``least``, or the ``top`` best of each batch and query.
+QUERIES_HELD = 65_536  # query vectors that a task holds at once
+QUERY_STRIP = 512  # of these multiplied with a batch of the corpus at once
+CORPUS_PART = 10_000  # corpus rows for which another part of the corpus is worth while
 
-    ``queries``: query_id, vec; ``corpus``: point_id, vec. Queries are dealt in blocks of bounded size, every corpus task
-    multiplies its batch with one block after the other; a task hands on only what passes."""
-    block = 2048
-    spark = corpus.sparkSession
-    n_blocks = max(1, -(-queries.count() // block))
-    dealt = queries.select((F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).cast("int").alias("b"), "query_id", "vec")
 
-    def run(shared):
-        ids, matrix = shared
+def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float | None = None, top: int | None = None) -> DataFrame:
+    """(query_id, point_id, score) by cosine: all scores >= ``least``, or the ``top`` best of each query.
 
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = matrix.value
-            for b in batches:
-                if not b.num_rows:
+    ``queries``: query_id, vec; ``corpus``: point_id, vec; null vectors are left out. Both are dealt by hash to tiles, a group
+    of queries by a part of the corpus, through one exchange: a task holds its group (``QUERIES_HELD`` on average) and
+    multiplies it with one batch of its part after the other, and hands on only what passes. No vector reaches the driver."""
+    spark = corpus.sparkSession
+    groups = max(1, -(-queries.count() // QUERIES_HELD))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_PART)))
+
+    def dealt(df: DataFrame, side: int, key: str, n: int, others: int, tile: Callable[[Column, Column], Column]) -> DataFrame:
+        own, other = F.pmod(F.xxhash64(key), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        rows = df.filter("vec is not null").select(own.alias("_own"), other.alias("_other"), F.col(key).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        return rows.select(tile(F.col("_own"), F.col("_other")).cast("long").alias("tile"), F.lit(side).alias("side"), "id", "vec")
+
+    asked = dealt(queries, 0, "query_id", groups, parts, lambda group, part: group * parts + part)
+    found = dealt(corpus, 1, "point_id", parts, groups, lambda part, group: group * parts + part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, q = None, [], []
+        for b in batches:
+            tiles, sides = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero((tiles[1:] != tiles[:-1]) | (sides[1:] != sides[:-1])) + 1
+            for lo, hi in zip(np.append(0, edges).tolist(), np.append(edges, len(tiles)).tolist(), strict=True):
+                if lo == hi:
                     continue
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in b.column(1).to_pylist()])
+                if tiles[lo] != at:
+                    at, ids, q = tiles[lo], [], []
+                x = np.array(b.column(3).slice(lo, hi - lo).to_pylist(), dtype=np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = q @ x.T
-                if top is not None and s.shape[1] > top:
-                    edge = np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top][:, None]
-                    i, j = np.nonzero(s >= edge)
-                else:
-                    i, j = np.nonzero(s >= (least if least is not None else -2))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.value[i]), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "point_id", "score"])
-
-        return go
-
-    out = None
-    for b in range(n_blocks):
-        rows = dealt.filter(F.col("b") == b).collect()  # one block of about ``block`` query vectors
-        if not rows:
-            continue
-        m = np.array([r["vec"] for r in rows], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast(np.array([r["query_id"] for r in rows])), spark.sparkContext.broadcast(m)
-        part = corpus.select("point_id", "vec").mapInArrow(run(shared), "query_id long, point_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, point_id long, score double")
+                if sides[lo] == 0:
+                    ids.append(b.column(2).slice(lo, hi - lo).to_numpy())
+                    q.append(x)
+                    continue
+                for held, m in zip(ids, q, strict=True):
+                    for first in range(0, len(m), QUERY_STRIP):
+                        s = m[first : first + QUERY_STRIP] @ x.T
+                        if top is not None and s.shape[1] > top:
+                            i, j = np.nonzero(s >= np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top][:, None])
+                        else:
+                            i, j = np.nonzero(s >= (least if least is not None else -2))
+                        yield pa.RecordBatch.from_arrays([pa.array(held[first + i]), b.column(2).slice(lo, hi - lo).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "point_id", "score"])
+
+    tiles = asked.unionByName(found).repartition(groups * parts, "tile").sortWithinPartitions("tile", "side")
+    out = tiles.mapInArrow(run, "query_id long, point_id long, score double")
     return out if top is None else ranked(out, "query_id", top)
 
 

@@ -80,7 +80,7 @@ def variant_merge(spark, sf):
 
 @query("relevance_gate", f"SELECT query_id, point_id, round(score, 6) AS score, CASE WHEN score <= 0 THEN 'ambiguous' ELSE 'correct' END AS status FROM (SELECT query_id, point_id, score * 10 AS score FROM ({_KNN})) WHERE score > -3")
 def relevance_gate(spark, sf):
-    return S.gate(_hits(spark, sf, least=-2).withColumn("score", F.col("score") * 10)).select("query_id", "point_id", F.round("score", 6).alias("score"), "status")
+    return S.gate(_hits(spark, sf, least=-0.3).withColumn("score", F.col("score") * 10)).select("query_id", "point_id", F.round("score", 6).alias("score"), "status")
 
 
 @query("confidence", f"WITH h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM ({_KNN})), g AS (SELECT query_id, max(1 / (1 + exp(-score))) AS top, count(*) AS n, count(*) FILTER (rank <= 3 AND 1 / (1 + exp(-score)) >= 0.6) AS good FROM h WHERE rank <= 8 GROUP BY 1) SELECT query_id, round(0.6 * top + 0.4 * good / least(3, n), 3) AS confidence, CASE WHEN round(0.6 * top + 0.4 * good / least(3, n), 3) >= 0.8 THEN 'high' WHEN round(0.6 * top + 0.4 * good / least(3, n), 3) >= 0.6 THEN 'medium' ELSE 'low' END AS level FROM g")
