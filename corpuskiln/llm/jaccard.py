@@ -80,8 +80,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stars(sets: DataFrame) -> DataFrame:
     """(hub, hub_n, cls, n): every class of an inverted list with the list's class of the smallest set."""
     entries = sets.select("cls", "n", "m", "v").mapInArrow(_entries, "h long, cls long, n long")
-    hubs = entries.groupBy("h").agg(F.min(F.struct("n", "cls")).alias("hub"), F.max("cls").alias("top")).filter("hub.cls <> top")
-    pairs = entries.join(hubs.select("h", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), "top"), "h")
+    hubs = entries.groupBy("h").agg(F.min(F.struct("n", "cls")).alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("top")).filter("low <> top")
+    pairs = entries.join(hubs.select("h", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), "h")
     return pairs.filter("cls <> hub").select("hub", "hub_n", "cls", "n").distinct()
 
 

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from corpuskiln.llm import jaccard
 
 from .fixtures import rows, table
@@ -89,3 +91,25 @@ def test_stars_with_several_components(spark, monkeypatch):
         data.append((i, " ".join(base)))
     got = jaccard.jaccard_components(table(spark, data)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(data)
+
+
+def test_smaller_set_in_the_later_class(spark):
+    """A lone pair links whichever of its sets is smaller, and whichever comes first."""
+    long = " ".join(f"w{i}" for i in range(60))
+    short = " ".join(f"w{i}" for i in range(58))
+    for texts in ([long, short], [short, long]):
+        got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+        assert [r.component_id for r in got] == [0, 0]
+
+
+def test_equals_sql(spark, sf):
+    """The query's whole result against its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from corpuskiln.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op5_divide_skip_jaccard", "op6_bucket_pointer_dedup", "op10_quality_ledger"):
+        want = con.sql(ORACLE[name])
+        columns = want.columns
+        assert sorted(map(tuple, QUERIES[name](spark, sf).select(*columns).collect())) == sorted(want.fetchall()), name
