@@ -16,6 +16,9 @@ _WHERE = {
     "op8_viterbi_pieces": ("pieces", "op8_viterbi_pieces"),
     "op9_crf_pii": ("pii", "op9_crf_pii"),
     "op10_quality_ledger": ("quality", "op10_quality_ledger"),
+    "op11_end_alignment": ("alignment", "op11_end_alignment"),
+    "op12_collocations": ("collocations", "op12_collocations"),
+    "op13_grammar_files": ("grammar", "op13_grammar_files"),
 }
 
 
@@ -69,5 +72,21 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(x.n, 0)::BIGINT AS
 FROM d JOIN o USING (doc_id) LEFT JOIN (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans FROM r GROUP BY 1) x USING (doc_id)
 """
 
+_COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, range(1, 5) AS o(k) WHERE i + k - 1 <= len(w)),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+k AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM c, range(1, 4) AS o(k) WHERE k < words),
+x AS (SELECT k.lang, k.words, k.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = first JOIN f r ON r.lang = k.lang AND r.phrase = rest),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM x),
+o AS (SELECT c.lang, c.phrase FROM c JOIN c y ON y.lang = c.lang AND y.words > c.words AND contains(' ' || y.phrase || ' ', ' ' || c.phrase || ' ') AND 100::HUGEINT * y.a >= 80::HUGEINT * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score::BIGINT AS score
+FROM b JOIN t ON t.lang = b.lang ANTI JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE nth = 1) WHERE rank <= 2000
+"""
+
 #: DuckDB SQL of the queries that SQL can express on whole tables in reasonable time.
-ORACLE: dict[str, str] = {"op5_divide_skip_jaccard": _JACCARD, "op6_bucket_pointer_dedup": _SUBSTRINGS, "op10_quality_ledger": _QUALITY}
+ORACLE: dict[str, str] = {"op5_divide_skip_jaccard": _JACCARD, "op6_bucket_pointer_dedup": _SUBSTRINGS, "op10_quality_ledger": _QUALITY, "op12_collocations": _COLLOCATIONS}
