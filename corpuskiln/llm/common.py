@@ -40,13 +40,8 @@ def buckets(spark: SparkSession) -> int:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a folder is made. Shuffle
-    files serve recovery while the rows are being written; then Spark drops them, as nothing reads them any more. The files
-    themselves go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset on a local master."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,6 +50,17 @@ def stored(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a folder is made. Shuffle
+    files serve recovery while the rows are being written; then Spark drops them, as nothing reads them any more. The files
+    themselves go with the DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    spark = df.sparkSession
+    shared_folder(spark)
     before = spark.conf.get(_DROP_SHUFFLES)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
