@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -40,6 +41,7 @@ from .common import documents, records, shared_folder
 BROADCAST_PAIRS = 1_000_000  # rows of (a, b, count, best): about 100 MB as a hash table
 CACHE = 400_000  # chunks that a worker remembers
 MARK = "▁"
+_BAD = array("i", [-1]).tobytes()
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -54,18 +56,18 @@ class Side:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
         self.encode, self.token_bytes = encode, token_bytes
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}
         self.size = np.array([len(t) for t in token_bytes], dtype=np.int64)
 
-    def chunks(self, found: list[bytes]) -> list[list[int]]:
-        """Ids of each chunk; [-1] where the joined tokens are not the chunk."""
+    def chunks(self, found: list[bytes]) -> list[bytes]:
+        """32-bit ids of each chunk; _BAD where the joined tokens are not the chunk."""
         cache, missing = self.cache, [c for c in found if c not in self.cache]
         if len(cache) + len(missing) > CACHE:
             cache.clear()
             missing = found
         texts = [c.decode("utf-8", "replace") for c in missing]
         for c, ids in zip(missing, self.encode(texts), strict=True):
-            cache[c] = ids if b"".join([self.token_bytes[i] for i in ids]) == c else [-1]
+            cache[c] = array("i", ids).tobytes() if b"".join([self.token_bytes[i] for i in ids]) == c else _BAD
         return [cache[c] for c in found]
 
 
@@ -117,13 +119,12 @@ def tokens(data: np.ndarray, off: np.ndarray, both: tuple[Side, Side]) -> list[t
     found, good = list(number), np.ones(docs, dtype=bool)
     ids = [side.chunks(found) for side in both]
     for got in ids:
-        bad = np.array([x == [-1] for x in got])
-        if bad.any():
-            good[doc[bad[which]]] = False
+        if _BAD in got:
+            good[doc[np.array([x == _BAD for x in got])[which]]] = False
     out = []
     for side, got in zip(both, ids, strict=True):
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        table = np.fromiter((i for x in got for i in x), dtype=np.int64, count=int(size.sum()))
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        table = np.frombuffer(b"".join(got), dtype=np.int32)
         width = np.where(table >= 0, side.size[table], 0)
         each = np.where(good[doc], size[which], 0)
         total = np.cumsum(each)
@@ -131,7 +132,7 @@ def tokens(data: np.ndarray, off: np.ndarray, both: tuple[Side, Side]) -> list[t
         first = np.append(0, total)[np.searchsorted(start, off)]
         stop = np.cumsum(width[at])
         begin = np.append(0, stop)[first[:-1]]  # bytes of the documents before
-        out.append((table[at].astype(np.int32), (stop - np.repeat(begin, np.diff(first))).astype(np.int32), first))
+        out.append((table[at], (stop - np.repeat(begin, np.diff(first))).astype(np.int32), first))
     return out
 
 
@@ -175,19 +176,20 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     own = ["doc_id", "a", "b", "ea", "eb"]
     # all ends in one order: an end e of A as 2e, of B as 2e + 1
     rows = _then(rows, own, s="sort_array(concat(transform(ea, e -> 2L * e), transform(eb, e -> 2L * e + 1)))", cuts="array_intersect(ea, eb)")
-    places = "filter(sequence(0, size(s) - 1), i -> s[i] % 2 = {side})"
-    rows = _then(rows.filter("size(s) > 0"), [*own, "s", "cuts"], pa=places.format(side=0), pb=places.format(side=1)).unionByName(_then(rows.filter("size(s) = 0"), [*own, "s", "cuts"], pa="cast(array() as array<int>)", pb="cast(array() as array<int>)"))
+    none = "cast(array() as array<int>)"
+    places = f"if(size(s) = 0, {none}, filter(sequence(0, size(s) - 1), i -> (s[i] & 1L) = {{side}}L))"
+    rows = _then(rows, [*own, "s", "cuts"], pa=places.format(side=0), pb=places.format(side=1))
     link = "shiftleft(cast({a} as bigint), 32) + {b}"
     by_a = f"transform(pa, (p, i) -> {link.format(a='a[i]', b='b[p - i]')})"
     # an end of B at an end of A is a link already
     by_b = f"filter(transform(pb, (p, j) -> if(get(s, p - 1) = 2L * eb[j], -1L, {link.format(a='a[p - j]', b='b[j]')})), x -> x >= 0)"
-    # index after the last token of each group
-    end_a = "transform(filter(transform(pa, (p, i) -> if(get(s, p + 1) = 2L * ea[i] + 1, i, -1)), i -> i >= 0), i -> i + 1)"
-    end_b = "transform(filter(transform(pb, (p, j) -> if(get(s, p - 1) = 2L * eb[j], j, -1)), j -> j >= 0), j -> j + 1)"
-    rows = _then(rows, ["doc_id", "a", "b", "cuts"], ga=end_a, gb=end_b, l=f"sort_array(concat({by_a}, {by_b}))", ta="cast(a as array<string>)", tb="cast(b as array<string>)")
-    part = "array_join(slice({t}, if(g = 0, 1, {e}[g - 1] + 1), {e}[g] - if(g = 0, 0, {e}[g - 1])), ',')"
-    groups = f"if(size(ga) = 0, '', array_join(transform(ga, (e, g) -> concat({part.format(t='ta', e='ga')}, '|', {part.format(t='tb', e='gb')})), ';'))"
-    rows = _then(rows, ["doc_id", "a", "b", "cuts", "l"], groups=groups, runs="if(size(l) = 0, cast(array() as array<int>), filter(sequence(0, size(l) - 1), i -> i = 0 or l[i] <> l[i - 1]))")
+    # ids of each group: a token is followed by ';' where tokens of both end, else by ','
+    ids = "split(trim(trailing ';' from array_join(transform({p}, (p, i) -> concat(cast({t}[i] as string), if({common}, ';', ','))), '')), ';')"
+    ga = ids.format(p="pa", t="a", common="get(s, p + 1) = 2L * ea[i] + 1")
+    gb = ids.format(p="pb", t="b", common="get(s, p - 1) = 2L * eb[i]")
+    rows = _then(rows, ["doc_id", "a", "b", "cuts"], ga=ga, gb=gb, l=f"sort_array(concat({by_a}, {by_b}))")
+    groups = "if(size(a) = 0, '', array_join(zip_with(ga, gb, (x, y) -> concat(x, '|', y)), ';'))"
+    rows = _then(rows, ["doc_id", "a", "b", "cuts", "l"], groups=groups, runs=f"if(size(l) = 0, {none}, filter(sequence(0, size(l) - 1), i -> i = 0 or l[i] <> l[i - 1]))")
     links = "transform(runs, (p, i) -> named_struct('a', cast(shiftright(l[p], 32) as int), 'b', cast(l[p] & 4294967295L as int), 'n', coalesce(get(runs, i + 1), size(l)) - p))"
     return rows.selectExpr("doc_id", "cast(size(a) as bigint) as n_a", "cast(size(b) as bigint) as n_b", "cast(size(cuts) as bigint) as n_groups", "cast(size(l) as bigint) as n_links", "groups", f"{links} as links")
 
