@@ -4,9 +4,9 @@ Texts are tokenised in Python: blank + text by a byte-level vocabulary (A), text
 front itself (B). Both give ids and the byte offset after each token. All that follows is Spark's higher-order functions:
 
 * ``array_intersect`` of both arrays of ends gives the offsets at which tokens of both end; they cut the text into groups;
-* both arrays, tagged and sorted into one, tell for each end how many ends of the other side lie before it (its place
-  less its own index), so ``sequence``, ``filter`` and ``transform`` find for every token its partner without a search:
-  two tokens overlap exactly where one of them ends inside (or at the end of) the other;
+* the ends of one side only (``array_except``), tagged and sorted with the common ones, tell by their places how many ends of either
+  side lie before them, so ``sequence``, ``filter`` and ``transform`` find for every end the token of each side without
+  a search: two tokens overlap exactly where one of them ends inside (or at the end of) the other;
 * links of one document are sorted, ``filter`` keeps the first of each run, and run lengths are how often it is linked.
 
 Documents with their distinct links are written once to the shared folder. The number of documents of each id pair comes from one
@@ -165,33 +165,41 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
 def _then(df: DataFrame, keep: list[str], **made: str) -> DataFrame:
     """``df`` with columns made of its own by SQL expressions, each worked out once.
 
-    The row is handed on as the only element of an array, so that no later expression is put together with these."""
+    The row is handed on as the only element of an array, so that no later expression is put together with these. The
+    struct is made in a projection of its own: there array functions run as compiled code, in a generator they would not."""
     fields = ", ".join([*(f"'{c}', {c}" for c in keep), *(f"'{c}', {e}" for c, e in made.items())])
-    return df.selectExpr(f"inline(array(named_struct({fields})))")
+    return df.selectExpr(f"named_struct({fields}) as r").selectExpr("inline(array(r))")
 
 
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups (the text of them), links (array of a, b, n: how often they are linked)."""
     rows = tokenised(docs, paths)
-    own = ["doc_id", "a", "b", "ea", "eb"]
-    # all ends in one order: an end e of A as 2e, of B as 2e + 1
-    rows = _then(rows, own, s="sort_array(concat(transform(ea, e -> 2L * e), transform(eb, e -> 2L * e + 1)))", cuts="array_intersect(ea, eb)")
     none = "cast(array() as array<int>)"
-    places = f"if(size(s) = 0, {none}, filter(sequence(0, size(s) - 1), i -> (s[i] & 1L) = {{side}}L))"
-    rows = _then(rows, [*own, "s", "cuts"], pa=places.format(side=0), pb=places.format(side=1))
-    link = "shiftleft(cast({a} as bigint), 32) + {b}"
-    by_a = f"transform(pa, (p, i) -> {link.format(a='a[i]', b='b[p - i]')})"
-    # an end of B at an end of A is a link already
-    by_b = f"filter(transform(pb, (p, j) -> if(get(s, p - 1) = 2L * eb[j], -1L, {link.format(a='a[p - j]', b='b[j]')})), x -> x >= 0)"
-    # ids of each group: a token is followed by ';' where tokens of both end, else by ','
-    ids = "split(trim(trailing ';' from array_join(transform({p}, (p, i) -> concat(cast({t}[i] as string), if({common}, ';', ','))), '')), ';')"
-    ga = ids.format(p="pa", t="a", common="get(s, p + 1) = 2L * ea[i] + 1")
-    gb = ids.format(p="pb", t="b", common="get(s, p - 1) = 2L * eb[i]")
-    rows = _then(rows, ["doc_id", "a", "b", "cuts"], ga=ga, gb=gb, l=f"sort_array(concat({by_a}, {by_b}))")
-    groups = "if(size(a) = 0, '', array_join(zip_with(ga, gb, (x, y) -> concat(x, '|', y)), ';'))"
-    rows = _then(rows, ["doc_id", "a", "b", "cuts", "l"], groups=groups, runs=f"if(size(l) = 0, {none}, filter(sequence(0, size(l) - 1), i -> i = 0 or l[i] <> l[i - 1]))")
+    # every end once, in order: 4e where tokens of both end, 4e + 1 where only one of A does, 4e + 2 where only one of B does
+    ends = ", ".join(f"transform({e}, e -> coalesce(4L * e + {tag}, 0L))" for e, tag in (("cuts", 0), ("array_except(ea, cuts)", 1), ("array_except(eb, cuts)", 2)))
+    rows = _then(rows, ["doc_id", "a", "b", "ea", "eb"], cuts="array_intersect(ea, eb)")
+    rows = _then(rows, ["doc_id", "a", "b"], n_groups="size(cuts)", s=f"sort_array(concat({ends}))")
+    # the places of ends of one side only, with how many of such are before
+    rows = _then(rows, ["doc_id", "a", "b", "n_groups", "s"], odd=f"transform(if(size(s) = 0, {none}, filter(sequence(0, size(s) - 1), k -> (s[k] & 3L) > 0)), (k, r) -> shiftleft(cast(k as bigint), 32) + r)")
+    side = "filter(odd, x -> (s[cast(shiftright(x, 32) as int)] & 3L) = {tag})"
+    rows = _then(rows, ["doc_id", "a", "b", "n_groups", "s"], oa=side.format(tag=1), ob=side.format(tag=2))
+    # of the j-th such end: j of its own side are before it, and r - j of the other, so its token is number k - (r - j) of its side, within number k - j of the other
+    place, within = "transform({o}, (x, j) -> cast(shiftright(x, 32) - (x & 4294967295L) + j as int))", "transform({o}, (x, j) -> coalesce(cast(shiftright(x, 32) as int) - j, 0))"
+    count = "if(size({t}) = 0, {none}, sequence(0, size({t}) - 1))"
+    found = {}
+    for t, own, other in (("a", "oa", "ob"), ("b", "ob", "oa")):
+        every = count.format(t=t, none=none)
+        # the token of each end (tokens in which the other side ends come again), and the last token of each group
+        found |= {f"i{t}": f"sort_array(concat({every}, {within.format(o=other)}))", f"g{t}": f"array_except({every}, {place.format(o=own)})", f"t{t}": f"cast({t} as array<string>)", f"l{t}": f"cast({t} as array<bigint>)"}
+    rows = _then(rows, ["doc_id", "a", "b", "n_groups"], **found)
+    # (coalesce: arrays that cannot hold nulls are sorted as plain numbers)
+    link = "sort_array(transform(ia, (x, k) -> coalesce(shiftleft(la[x], 32) + lb[ib[k]], 0L)))"
+    rows = _then(rows, ["doc_id", "a", "b", "n_groups", "ta", "tb", "ga", "gb"], l=link, fa="concat(array(-1), ga)", fb="concat(array(-1), gb)")
+    part = "array_join(slice(t{t}, f{t}[g] + 2, g{t}[g] - f{t}[g]), ',')"
+    one = "if(e = fa[g] + 1 and gb[g] = fb[g] + 1, concat(ta[e], '|', tb[gb[g]]), {many})".format(many=f"concat({part.format(t='a')}, '|', {part.format(t='b')})")
+    rows = _then(rows, ["doc_id", "a", "b", "n_groups", "l"], groups=f"array_join(transform(ga, (e, g) -> {one}), ';')", runs=f"if(size(l) = 0, {none}, filter(sequence(0, size(l) - 1), i -> i = 0 or l[i] <> l[i - 1]))")
     links = "transform(runs, (p, i) -> named_struct('a', cast(shiftright(l[p], 32) as int), 'b', cast(l[p] & 4294967295L as int), 'n', coalesce(get(runs, i + 1), size(l)) - p))"
-    return rows.selectExpr("doc_id", "cast(size(a) as bigint) as n_a", "cast(size(b) as bigint) as n_b", "cast(size(cuts) as bigint) as n_groups", "cast(size(l) as bigint) as n_links", "groups", f"{links} as links")
+    return rows.selectExpr("doc_id", "cast(size(a) as bigint) as n_a", "cast(size(b) as bigint) as n_b", "cast(n_groups as bigint) as n_groups", "cast(size(l) as bigint) as n_links", "groups", f"{links} as links")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
