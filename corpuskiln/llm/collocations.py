@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import documents, stored
+from .common import documents, records, stored
 
 MAX_N = 4
 MIN_COUNT = 30
@@ -36,7 +36,7 @@ TOP = 2000
 SCALE = 2_000_000
 EXTENSION_PERCENT = 80
 FILTER_BITS = 1 << 26  # of one length's table, 8 MB
-SLICE_BYTES = 8 << 20  # of text that a task counts at once; a longer text comes alone
+SLICE_BYTES = 2 << 20  # of text that a task counts at once; a longer text comes alone
 SALTS = 64  # parts of a language in the first ranking
 UND = "und"
 
@@ -127,7 +127,7 @@ def _counted(docs: DataFrame, n: int, tables: list) -> DataFrame:
                         phrases, counts = pa.concat_arrays([phrases, pa.array([None], pa.large_string())]), np.append(counts, len(s.codes))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), phrases, pa.array(counts.astype(np.int64))], schema=_COUNTS)
 
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = records(docs, F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang")).select("lang", "text")
     return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
