@@ -2,8 +2,9 @@
 
 ``write`` encodes every text, appends ``END`` and deals documents by ranges of ``doc_id``, so that the tasks hold them in
 ascending order. A task cuts its documents into shards of about ``SHARD_TOKENS`` ids. In a shard frequent pairs of
-neighbouring symbols are replaced by nonterminals, again and again, until no pair is found ``MIN_PAIR`` times or
-``MAX_RULES`` rules are there; a pair never reaches over a document's end. A shard is one row of the table ``shards``
+neighbouring symbols are replaced by nonterminals, again and again, the most frequent ones first: each round takes pairs down
+to an eighth of the count that the round before went down to, at last to ``MIN_PAIR``, until a round replaces less than one
+symbol in ``LEAST_GAIN`` or ``MAX_RULES`` rules are there; a pair never reaches over a document's end. A shard is one row of the table ``shards``
 (Parquet, so a task that dies leaves nothing behind) with the ids of its documents, their lengths, and a binary body:
 
     magic, width of a symbol, first nonterminal, numbers of rules, symbols and documents (little-endian 32-bit numbers)
@@ -44,7 +45,10 @@ END = 0
 SHARD_TOKENS = 1 << 20
 MIN_PAIR = 12  # a rule takes 12 bytes, a replaced pair saves a symbol
 MAX_RULES = 15_000  # with 50 257 ids all symbols fit into 16 bits
-STEP = 8  # pairs down to this part of the most frequent one's count are replaced in the same round
+STEP = 8
+LEAST_GAIN = 200
+SLICE_BYTES = 4 << 20  # of text encoded at once
+CACHE = 500_000  # chunks that a worker remembers, about 100 MB
 _HEAD = struct.Struct("<4s6I")
 _MAGIC = b"RPG1"
 _TABLED = 64  # rules that expand to so many ids at most are expanded by one lookup
@@ -57,20 +61,20 @@ _SHARDS = "part int, nth int, n_docs long, n_tokens long, doc_ids array<long>, l
 @lru_cache(maxsize=2)
 def encoder(paths: tuple[str, str]) -> Encoder:
     """One encoder for all tasks of a worker, so that its cache of chunks lives on."""
-    return Encoder(*paths)
+    enc = Encoder(*paths)
+    enc.CACHE = CACHE
+    return enc
 
 
-def _frequent(key: np.ndarray, room: int) -> np.ndarray:
-    """Pairs of a round, most frequent first (ties: the smaller pair)."""
+def _frequent(key: np.ndarray, least: int | None, room: int) -> tuple[np.ndarray, int]:
+    """Pairs of a round, most frequent first (ties: the smaller pair), and the count they go down to."""
     s = np.sort(key)
     begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, dtype=np.int64)
     count = np.diff(np.append(begin, len(s)))
-    most = int(count.max(initial=0))
-    if most < MIN_PAIR:
-        return s[:0]
-    some = np.flatnonzero(count >= max(MIN_PAIR, most // STEP))
+    least = max(MIN_PAIR, (int(count.max(initial=0)) if least is None else least) // STEP)
+    some = np.flatnonzero(count >= least)
     some = some[np.argsort(-count[some], kind="stable")][:room]
-    return s[begin[some]]
+    return s[begin[some]], least
 
 
 def _ranks(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -90,19 +94,19 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int | None = None, max_ru
     seq, last = ids.astype(np.int64), np.zeros(len(ids), dtype=bool)
     last[first[1:][first[1:] > first[:-1]] - 1] = True
     rules, lengths = [np.zeros((0, 2), dtype=np.int64)], np.ones(0, dtype=np.int64)
-    made = 0
+    made, least = 0, None
     while len(seq) > 1 and made < max_rules:
         at = np.flatnonzero(~last[:-1])
         key = seq[at] << 32 | seq[at + 1]
-        chosen = _frequent(key, min(max_rules - made, 1 << _SLOTS - 2))
-        if not len(chosen):
-            break
+        chosen, least = _frequent(key, least, min(max_rules - made, 1 << _SLOTS - 2))
         rank = np.full(len(seq) + 1, _NONE, dtype=np.int32)  # rank[i + 1] is that of the pair (i, i + 1); rank[0] of none
-        rank[at + 1] = _ranks(key, chosen)
+        rank[at + 1] = _ranks(key, chosen) if len(chosen) else _NONE
         own, before, after = rank[1:-1], rank[:-2], rank[2:]
         hit = np.flatnonzero((own < _NONE) & (own <= before) & (own <= after))
-        if not len(hit):
-            break
+        if LEAST_GAIN * len(hit) < len(seq):
+            if least <= MIN_PAIR:
+                break
+            continue
         # of overlapping equal pairs (runs of one symbol) every other one is taken
         run = np.append(True, (hit[1:] != hit[:-1] + 1) | (own[hit[1:]] != own[hit[:-1]]))
         place = np.arange(len(hit))
@@ -202,7 +206,7 @@ class Shard:
 def _encoded(b: pa.RecordBatch, enc: Encoder) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi of a batch, their ids with END after each document, and the documents' offsets."""
     data, off = T.flat(b.column(1))
-    for lo, hi in T.slices(off):
+    for lo, hi in T.slices(off, SLICE_BYTES):
         part = data[off[lo] : off[hi]]
         ids, at = enc.slice(part, off[lo : hi + 1] - off[lo])
         if SPECIAL.encode() in part.tobytes():
