@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuskiln.operators import search as S
+from corpuskiln.operators.sparse import SparseIndex
+from corpuskiln.operators.store import shared_place
 from corpuskiln.registry import query, table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
@@ -56,9 +58,10 @@ def similarity_alerts(spark, sf):
 
 @query("bm25_topk", _BM25 + "SELECT query_id, point_id, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM s) WHERE rank <= 5")
 def bm25_topk(spark, sf):
-    docs = S.terms(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "point_id")
-    asked = S.terms(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "query_id")
-    return S.ranked(S.bm25(asked, docs).withColumn("score", F.round("score", 6)), "query_id", 5)
+    """Benchmark passages over a stored index of all documents."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return SparseIndex.build(docs, shared_place(spark, "sparse")).search(asked, 5)
 
 
 @query("rrf_fusion", f"WITH h AS ({_KNN}), a AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM h), g AS (SELECT q.vec_id AS query_id, e.vec_id AS point_id, list_cosine_similarity(q.embedding[1:16]::DOUBLE[], e.embedding[1:16]::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id), b AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM g), f AS (SELECT query_id, point_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a WHERE rank <= 60 UNION ALL SELECT * FROM b WHERE rank <= 60) GROUP BY 1, 2) SELECT query_id, point_id, round(score, 9) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM f) WHERE rank <= 10")
