@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuskiln.functions.text import SOURCE_TYPES
+
 BROADCAST_ROWS = 20_000
 
 
@@ -178,16 +180,9 @@ def fan_out(hits: DataFrame, query: str, kind: str, total: int, kinds: int) -> D
     return ranked(ranked(hits, [query, kind], per).drop("rank"), query, total)
 
 
-# The publishers of each source type.
-PUBLISHERS = {
-    "legislation": ["WDU", "WMP"],
-    "judgment_nsa": ["ADMINISTRATIVE"],
-    "judgment_sn": ["SUPREME"],
-    "judgment_tk": ["CONSTITUTIONAL_TRIBUNAL"],
-    "judgment_common": ["COMMON"],
-    "judgment_kio": ["NATIONAL_APPEAL_CHAMBER"],
-    "tax_interpretation": ["KIS"],
-}
+PUBLISHERS: dict[str, list[str]] = {}  # of each source type
+for _publisher, _kind in SOURCE_TYPES.items():
+    PUBLISHERS.setdefault(_kind, []).append(_publisher)
 
 
 def corpus_filters(
@@ -199,23 +194,25 @@ def corpus_filters(
     as_of_year: int | None = None,
     exclude_repealed: bool = False,
 ) -> list[Column]:
-    """Filters on publisher, year (text), valid_from_year and is_repealed. What is repealed or not yet valid goes only where
-    the source type may be legislation; an unknown source type filters nothing."""
+    """Filters on publisher, year, valid_from_year and is_repealed. What is repealed or not yet valid goes only where the
+    source type may be legislation; an explicit publisher wins over those of the source type; an unknown source type filters
+    nothing; years are compared as numbers."""
     may_be_law = source_type in (None, "legislation", "tax_interpretation")
     out = []
     if exclude_repealed and may_be_law:
         out.append(~F.col("is_repealed"))
     if as_of_year is not None and may_be_law:
         out.append(F.col("valid_from_year") <= as_of_year)
+    number = F.col("year").try_cast("int")
     if year:
-        out.append(F.col("year") == str(year))
+        out.append(number == year)
     if year_from:
-        out.append(F.col("year") >= str(year_from))
+        out.append(number >= year_from)
     if year_to:
-        out.append(F.col("year") <= str(year_to))
+        out.append(number <= year_to)
     if publisher:
         out.append(F.col("publisher") == publisher)
-    if source_type in PUBLISHERS:
+    elif source_type in PUBLISHERS:
         out.append(F.col("publisher").isin(PUBLISHERS[source_type]))
     return out
 
