@@ -133,3 +133,14 @@ def year_range_scan(spark, sf):
     """Newest first within a range of years, up to the asked number of items (a top-k report)."""
     o = table(spark, sf, "orders").filter((F.col("o_orderdate") >= _now("1993-01-01 00:00:00")) & (F.col("o_orderdate") < _now("1997-01-01 00:00:00")))
     return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_orderdate")
+
+
+@query("ask_cache")
+def ask_cache(spark, sf):
+    """Every event as a question to a cache of all its inputs: which request answers it. A sequential rule, so without SQL."""
+    from corpuskiln.functions import text as X
+    from corpuskiln.operators import cache as C
+
+    e = _events(spark, sf).withColumn("question", F.concat(F.lit("What did user "), "user_id", F.lit(" do by "), "event_type", F.lit("?")))
+    key = X.cache_key(F.col("question"), F.lit("events"), F.lit("5"))
+    return C.through_cache(e, key, F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("event_id"), X.cacheable(F.col("question"), C.FRESH_WORDS))
