@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.operators.state import unseen
@@ -24,6 +24,20 @@ def replace_user_documents(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id", "doc_id").parquet(path)
 
 
+def drop_private(spark: SparkSession, path: str, caller: str | None, user_id: str, doc_id: str | None = None) -> bool:
+    """Drops the partitions of a user, or of one document of theirs, by their folders: no row is read or written.
+
+    Only the owner may: a caller without identity or another user raises PermissionError before anything is touched. Gives
+    False where there is nothing to drop, so a call that is repeated after a failure does no harm."""
+    if not caller or caller != user_id:
+        raise PermissionError("only the owner may drop a private collection")
+    jvm = spark._jvm
+    escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName  # as Spark names partition folders
+    folders = [f"user_id={escaped(user_id)}", *([] if doc_id is None else [f"doc_id={escaped(doc_id)}"])]
+    folder = jvm.org.apache.hadoop.fs.Path("/".join([path, *folders]))
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+
+
 def feedback_csv(rows: DataFrame, path: str) -> None:
     rows.withColumn("answer", F.substring("answer", 1, 500)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
