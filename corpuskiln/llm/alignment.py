@@ -11,7 +11,8 @@ front itself (B). Both give ids and the byte offset after each token. All that f
 
 Documents with their distinct links are written once to the shared folder. The number of documents of each id pair comes from one
 hash aggregation; it goes back to the documents' links by a broadcast while the pairs are at most ``BROADCAST_PAIRS``, else
-by a join that Spark can split where a pair is hot, and ``aggregate`` sums are plain sums per row.
+by a join that Spark can split where a pair is hot; sums over a document's links are one aggregation. (The ``aggregate`` function
+is not used: a fold over an array that builds an array copies it at every step.)
 
 Tokens: a text is cut before single blanks between visible characters, where both vocabularies always cut (checked when the
 model is loaded), and the distinct chunks are encoded; strings of special tokens are plain text.
