@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -139,3 +140,49 @@ def rate_key(ip: pd.Series) -> pd.Series:
             return a
 
     return ip.map(one)
+
+
+def token_hash(token: Column) -> Column:
+    """What is stored of an access token."""
+    return F.sha2(token, 256)
+
+
+def filled_template(template: str, **fields: Column) -> Column:
+    """``template`` with its ``{name}`` places filled; a null field is empty, braces inside a field's text stay as they are."""
+    parts = re.split(r"\{(\w+)\}", template)  # text, name, text, name, ..., text
+    return F.concat(*(F.coalesce(fields[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def joined_or(values: Column, default: str) -> Column:
+    """The elements of an array in one text, or the default where there are none."""
+    return F.coalesce(F.nullif(F.array_join(values, ", "), F.lit("")), F.lit(default))
+
+
+# Publishers of judgments.
+JUDGMENT_PUBLISHERS = ["ADMINISTRATIVE", "SUPREME", "CONSTITUTIONAL_TRIBUNAL", "COMMON", "NATIONAL_APPEAL_CHAMBER"]
+
+
+def is_judgment(publisher: Column) -> Column:
+    return F.coalesce(publisher, F.lit("WDU")).isin(*JUDGMENT_PUBLISHERS)
+
+
+# Months as Polish dates write them.
+MONTHS_PL = ["stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "września", "października", "listopada", "grudnia"]
+
+
+def long_date_pl(ts: Column) -> Column:
+    return F.concat_ws(" ", F.date_format(ts, "dd"), F.element_at(F.array(*(F.lit(m) for m in MONTHS_PL)), F.month(ts)), F.date_format(ts, "yyyy"))
+
+
+def date_time_pl(ts: Column) -> Column:
+    return F.date_format(ts, "dd.MM.yyyy, HH:mm")
+
+
+def progress(done: Column, total: Column, seconds: Column) -> tuple[Column, Column]:
+    """Items a second and the seconds that are left, 0 where either cannot be told."""
+    rate = F.when(seconds > 0, done / seconds).otherwise(0.0)
+    return rate, F.when(rate > 0, (total - done) / rate).otherwise(0.0)
+
+
+def model_cost(items: Column, tokens: int = 80, dollars_per_million: float = 0.15) -> Column:
+    return items * (tokens * dollars_per_million / 1_000_000)

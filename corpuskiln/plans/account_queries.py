@@ -144,3 +144,16 @@ def ask_cache(spark, sf):
     e = _events(spark, sf).withColumn("question", F.concat(F.lit("What did user "), "user_id", F.lit(" do by "), "event_type", F.lit("?")))
     key = X.cache_key(F.col("question"), F.lit("events"), F.lit("5"))
     return C.through_cache(e, key, F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.col("event_id"), X.cacheable(F.col("question"), C.FRESH_WORDS))
+
+
+@query(
+    "event_labels",
+    """SELECT event_id, strftime(ts, '%d') || ' ' || ['stycznia', 'lutego', 'marca', 'kwietnia', 'maja', 'czerwca', 'lipca', 'sierpnia', 'września', 'października', 'listopada', 'grudnia'][month(ts)]
+    || ' ' || strftime(ts, '%Y') AS day, strftime(ts, '%d.%m.%Y, %H:%M') AS moment, sha256(props) AS token FROM events""",
+)
+def event_labels(spark, sf):
+    """Dates as Polish readers see them, and the stored form of a secret text."""
+    from corpuskiln.functions import display as D
+
+    ts = F.col("ts").cast("timestamp")
+    return _events(spark, sf).select("event_id", D.long_date_pl(ts).alias("day"), D.date_time_pl(ts).alias("moment"), D.token_hash(F.col("props")).alias("token"))
