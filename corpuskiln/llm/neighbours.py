@@ -4,11 +4,11 @@ Every pass orders all distinct vectors lexicographically by concatenated bits of
 with its ``window`` successors; pairs with cosine >= ``THRESHOLD`` (double precision) are verified links. The first bits
 split at medians and the later ones at the medians of the cell that the first ones lead to, so that a crowded cone is
 split as finely as evenly spread vectors are. The medians come from a sample of at most ``SAMPLE`` distinct vectors (those
-of the least hashes, ``SAMPLE_BYTES`` at most); every vector takes part in every pass.
+of the least digests, ``SAMPLE_BYTES`` at most); every vector takes part in every pass.
 
 Links of all passes are united to components, and inside each component all links are counted by blocks of vectors, so
-that ``n_links`` is complete within a component and no pair is ever a row. Equal vectors form one class and count as
-often as they occur. Links between vectors that no pass brings within a window and no chain of links joins are missed. So
+that ``n_links`` is complete within a component and no pair is ever a row. Equal vectors (128-bit digests of length,
+width and bytes) form one class and count as often as they occur. Links between vectors that no pass brings within a window and no chain of links joins are missed. So
 the first ``PROBES`` vectors of the sample are compared with all vectors, and rounds of further passes, each with twice the
 window of the round before, follow until the passes have found ``TARGET`` of their links (of all, and on average over
 the probes that have any). As the window reaches the number of vectors in the end, the rounds always stop.
@@ -20,6 +20,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textops as T
-from .common import as_long, batch, buckets, by_key, connected, exchange, segments, stored
+from .common import batch, buckets, by_key, connected, exchange, segments, stored
 
 THRESHOLD = 0.9
 PASSES = 16
@@ -44,22 +44,26 @@ LEVELS = 8  # bits that split at the medians of all cells before
 CELL = 32  # sampled vectors that a cell has at least on average
 TARGET = 0.95
 
-_VECTORS = pa.schema([("vec_id", pa.int64()), ("cls", pa.int64()), ("dim", pa.int32()), ("vec", pa.binary())])
+_VECTORS = pa.schema([("vec_id", pa.int64()), ("digest", pa.binary()), ("dim", pa.int32()), ("vec", pa.binary())])
+
+
+def _digest(v: np.ndarray) -> bytes:
+    """128 bits by which equal vectors are told: of the number of components, their width and their bytes."""
+    return hashlib.blake2b(np.array([len(v), v.itemsize]).tobytes() + v.tobytes(), digest_size=16).digest()
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            row = {"vec_id": i, "cls": None, "dim": None, "vec": None}
+            row = {"vec_id": i, "digest": None, "dim": None, "vec": None}
             values = x.values
             if x.is_valid and i is not None and len(values) and not values.null_count:
                 v = values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(v).all() and v.any():
                     raw = v.astype(np.float32)
                     keep = raw if (raw == v).all() else v  # single precision where that loses nothing
-                    data = np.frombuffer(keep.tobytes(), dtype=np.uint8)
-                    row |= {"cls": int(as_long(T.range_hashes(data, np.array([0]), np.array([len(data)])))[0]), "dim": len(v), "vec": keep.tobytes()}
+                    row |= {"digest": _digest(keep), "dim": len(v), "vec": keep.tobytes()}
             out.append(row)
         yield pa.RecordBatch.from_pylist(out, schema=_VECTORS)
 
@@ -77,9 +81,9 @@ def _signs(dim: int, number: int) -> np.ndarray:
 
 
 def _sample(distinct: DataFrame) -> dict[int, tuple[list[int], np.ndarray]]:
-    """Classes and unit vectors of a bounded sample for each length of vectors: those of the least hashes."""
+    """Classes and unit vectors of a bounded sample for each length of vectors: those of the least digests."""
     widest = distinct.agg(F.max(F.length("vec"))).first()[0] or 1
-    rows = distinct.orderBy("cls").select("cls", "dim", "vec").limit(max(1, min(SAMPLE, SAMPLE_BYTES // widest))).collect()
+    rows = distinct.orderBy("digest").select("cls", "dim", "vec").limit(max(1, min(SAMPLE, SAMPLE_BYTES // widest))).collect()
     dims = sorted({r.dim for r in rows})
     return {d: ([r.cls for r in rows if r.dim == d], _matrix([bytes(r.vec) for r in rows if r.dim == d], d)) for d in dims}
 
@@ -275,10 +279,11 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WIND
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding)."""
     spark = vectors.sparkSession
     n = buckets(spark)
-    rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_valid, "vec_id long, cls long, dim int, vec binary"))
-    good = rows.filter("cls is not null")
-    classes = good.groupBy("cls").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
-    distinct = stored(good.join(classes, "cls").filter("vec_id = class_id").dropDuplicates(["cls"]).select("cls", "dim", "vec", "class_id", "copies"))
+    rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_valid, "vec_id long, digest binary, dim int, vec binary"))
+    good = rows.filter("digest is not null")
+    classes = good.groupBy("digest").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
+    firsts = good.join(classes, "digest").filter("vec_id = class_id").dropDuplicates(["digest"])
+    distinct = stored(firsts.select(F.monotonically_increasing_id().alias("cls"), "digest", "dim", "vec", "class_id", "copies"))  # numbers hold once they are written
     sample, rounds, roots = _sample(distinct), 0, None
     while roots is None or recall(distinct, roots, sample) < TARGET:
         links = pass_links(distinct, sample, range(rounds * passes, (rounds + 1) * passes), window << rounds)
@@ -292,10 +297,10 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WIND
     paired = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("same"), "cls", "dim", "vec", "copies")
     degree = exchange(paired, n, "pair").mapInArrow(_count, "cls long, linked long").groupBy("cls").agg(F.sum("linked").alias("linked"))
-    comp = distinct.join(roots, distinct.cls == roots.node, "left").select("cls", "class_id", "copies", F.coalesce("root", "cls").alias("root"))
+    comp = distinct.join(roots, distinct.cls == roots.node, "left").select("cls", "digest", "class_id", "copies", F.coalesce("root", "cls").alias("root"))
     least = comp.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    comp = comp.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("vec_id", "cls").join(comp, "cls", "left")
+    comp = comp.join(least, "root").join(degree, "cls", "left").select("digest", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = rows.select("vec_id", "digest").join(comp, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

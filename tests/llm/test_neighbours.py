@@ -46,6 +46,13 @@ def test_recall_of_lone_pairs_in_a_crowded_cone(spark):
     assert all(got[i] <= s[i].sum() for i in range(n))
 
 
+def test_vectors_of_equal_bytes_but_other_lengths_stay_alone(spark):
+    two = np.array([1.0, 1.5], dtype=np.float32)
+    one = two.view(np.float64)  # the same eight bytes as one component
+    frame = spark.createDataFrame([(1, [float(v) for v in two]), (2, [float(one[0])])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_duplicates(frame).collect()) == [(1, 0, 1), (2, 0, 2)]
+
+
 def test_empty_table(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
