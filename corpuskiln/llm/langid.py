@@ -5,8 +5,9 @@ A text is the set of the byte n-grams (n = 1..4, ASCII letters lowered, other AS
 Landmark texts (Nystroem) span the feature space, one-versus-rest kernel ridge regression gives one weight vector for
 each language, and whole texts are scored by two matrix products for each slice of a batch.
 
-Fitting reads a bounded sample: at most ``per_lang`` labelled texts of each of at most ``max_langs`` languages (the most
-frequent), chosen by the smallest hash of the id. Everything else runs on all rows.
+Every labelled language is learned. Fitting reads a bounded sample: at most ``per_lang`` labelled texts of each language and
+``rows`` of all, shared out evenly where there are many languages (at least one text and one landmark of each), chosen by
+the smallest hash of the id. Everything else runs on all rows.
 
 Cases: null text, or text without any letter: ``und`` with score 0; no labelled row at all: ``und`` for all; long texts
 are read whole; repeated rows are scored alike; an empty table gives no rows; other columns are not read.
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import batch, crc_mod, documents, records
+from .common import batch, crc_mod, documents, records, stored
 
 DIM = 1 << 13
 ORDERS = (1, 2, 3, 4)
 PER_LANG = 400
-MAX_LANGS = 64
+ROWS = 25_600  # of all languages
 LANDMARKS = 32  # of each language
+ALL_LANDMARKS = 2048  # of all languages
+STRIP = 512
 RIDGE = 1e-3
 UND = "und"
 
@@ -83,32 +86,40 @@ class Model:
         self.langs, self.landmarks, self.weights = langs, landmarks, weights
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([kernel(rows[k : k + 512], self.landmarks) @ self.weights for k in range(0, len(rows), 512)])
+        return np.concatenate([kernel(rows[k : k + STRIP], self.landmarks) @ self.weights for k in range(0, len(rows), STRIP)])
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, rows: int = ROWS, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """Kernel ridge regression on the bounded sample of ``docs`` (doc_id, text, lang); None where nothing is labelled."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("n")))
+    n_langs = counts.count()
+    if not n_langs:
+        return None
+    few = n_langs <= rows
+    per_lang, landmarks = max(1, min(per_lang, rows // n_langs)), max(1, min(landmarks, ALL_LANDMARKS // n_langs))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # a language's smallest hashes lie below this bound, so that only a few rows of each language go on
-    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(top), "lang").filter(F.col("place") < F.lit(float(8 * per_lang << 30)) / F.col("n"))
-    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("r") <= per_lang)
-    picked = ids.select("doc_id").distinct()
-    sample = known.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text", "lang")  # at most per_lang * max_langs ids
-    folded = _presence_rows(sample).collect()
+    near = known.select("doc_id", "lang", place.alias("place")).join(F.broadcast(counts) if few else counts, "lang")
+    near = near.filter(F.col("place") < F.lit(float((8 * per_lang + 64) << 30)) / F.col("n")).select("lang", "place", "doc_id").distinct()
+    picked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("r") <= per_lang).select("doc_id", "lang")
+    sample = known.join(F.broadcast(picked) if few else picked, ["doc_id", "lang"], "left_semi")  # at most per_lang * n_langs pairs
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one text of an id that repeats
+    folded = sorted(_presence_rows(sample).collect(), key=lambda r: (r["lang"], r["doc_id"]))
     if not folded:
         return None
-    folded = sorted({(r["lang"], r["doc_id"]): r for r in folded}.values(), key=lambda r: (r["lang"], r["doc_id"]))
     x = np.unpackbits(np.stack([np.frombuffer(r["bits"], dtype=np.uint8) for r in folded]), axis=1)[:, :DIM].astype(bool)
-    lang = np.array([r["lang"] for r in folded])
-    langs = sorted(set(lang.tolist()))
-    mark = np.concatenate([np.flatnonzero(lang == g)[:landmarks] for g in langs])
-    y = np.where(lang[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    k_nm, k_mm = kernel(x, x[mark]).astype(np.float64), kernel(x[mark], x[mark]).astype(np.float64)
-    weight = 1.0 / np.array([(lang == g).sum() for g in lang])  # languages count alike
-    left = (k_nm * weight[:, None]).T @ k_nm + ridge * len(langs) * k_mm + 1e-8 * np.eye(len(mark))
-    return Model(langs, x[mark], np.linalg.solve(left, (k_nm * weight[:, None]).T @ y).astype(np.float32))
+    langs, lang = np.unique(np.array([r["lang"] for r in folded]), return_inverse=True)
+    mark = np.concatenate([np.flatnonzero(lang == g)[:landmarks] for g in range(len(langs))])
+    marks, share = x[mark], 1.0 / np.bincount(lang)[lang]  # languages count alike
+    left, right = np.zeros((len(mark), len(mark))), np.zeros((len(mark), len(langs)))
+    for k in range(0, len(x), STRIP):
+        near_marks = kernel(x[k : k + STRIP], marks).astype(np.float64)
+        shared = (near_marks * share[k : k + STRIP, None]).T
+        left += shared @ near_marks
+        right += shared @ np.where(lang[k : k + STRIP, None] == np.arange(len(langs)), 1.0, -1.0)
+    left += ridge * len(langs) * kernel(marks, marks) + 1e-8 * np.eye(len(mark))
+    return Model(langs.tolist(), marks, np.linalg.solve(left, right).astype(np.float32))
 
 
 def _presence_rows(docs: DataFrame) -> DataFrame:
@@ -129,7 +140,7 @@ def _presence_rows(docs: DataFrame) -> DataFrame:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row; the score is the winning ridge output mapped to 0..1."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_langs * landmarks rows of DIM bits
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ALL_LANDMARKS rows of DIM flags, or one of each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -30,6 +30,26 @@ def test_cases(spark):
     assert langid.predict(docs, langid.fit(docs.filter("false"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    """Seventy languages of their own words, and fewer sampled rows than there are labelled ones; one id is a hot one."""
+    import random
+
+    rnd = random.Random(3)
+    words = {g: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)] for g in range(70)}
+    data = [(70 * i + g, " ".join(rnd.choices(words[g], k=30)), f"l{g:02}") for g in range(70) for i in range(12)]
+    docs = spark.createDataFrame([*data, *[data[0]] * 200], "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=300)
+    assert len(model.langs) == 70 and len(model.landmarks) <= 300
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang").distinct(), "doc_id")
+    assert got.count() == 70 * 12 + 200 and got.filter("lang <> lang_pred").count() == 0
+
+
+def test_a_table_without_labels_or_rows_gives_und(spark):
+    docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()] == ["und"]
+    assert langid.fit(docs.filter("false")) is None
+
+
 def test_base_scores_and_model(spark):
     import math
     import re
