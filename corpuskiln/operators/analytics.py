@@ -48,6 +48,15 @@ def json_counts(df: DataFrame, column: str, schema: str, pick: str) -> DataFrame
     return parsed.select(F.col(f"j.{pick}").cast("string").alias("value")).filter("value is not null and value <> ''").groupBy("value").agg(F.count("*").alias("n"))
 
 
+def json_elements(df: DataFrame, column: str, order: list[Column], newest: int, field: str) -> DataFrame:
+    """Counts of a field of the elements of JSON lists in the ``newest`` rows; malformed texts, other values than lists and
+    elements without the field, or with an empty one, are skipped."""
+    rows = df.orderBy(*order).limit(newest).select(F.try_parse_json(column).alias("v"))
+    lists = rows.filter(F.schema_of_variant("v").startswith("ARRAY")).select("v")
+    elements = lists.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.try_variant_get("value", f"$.{field}", "string").alias(field))
+    return elements.filter(F.col(field) != "").groupBy(field).agg(F.count("*").alias("n"))
+
+
 def quota_use(counts: DataFrame, tiers: DataFrame, tier: str) -> DataFrame:
     """Counts against the limit of their tier (null limit: none). ``tiers`` is a dimension of a few rows."""
     return counts.join(F.broadcast(tiers), tier).withColumn("over", F.coalesce(F.col("n") > F.col("tier_limit"), F.lit(False)))

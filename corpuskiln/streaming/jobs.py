@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpuskiln.operators.state import merge_by_key, unseen
+from corpuskiln.operators.versions import IndexVersions
 
 
 def admission(events: DataFrame, key: str, ts: str, order: str, limit: int, window_s: float) -> DataFrame:
@@ -71,6 +73,16 @@ def latest_index(spark, index_path: str) -> DataFrame:
     return rows.groupBy("point_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "point_id"]), "batch").alias("r")).select("point_id", "r.*").drop("batch")
 
 
+def versioned_index(raw: DataFrame, chunk: Callable[[DataFrame], DataFrame], index: IndexVersions, checkpoint: str) -> StreamingQuery:
+    """As ``incremental_index``, into an index with committed versions: an epoch of this checkpoint counts once, several streams
+    may feed one index, and what an epoch reads does not grow with the epochs before it."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        replace(index, spark=batch.sparkSession).upsert(chunk(batch), checkpoint, epoch)
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def newest_version(spark, out_path: str, before: int) -> int | None:
     """The greatest finished version under ``out_path`` that is less than ``before``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
