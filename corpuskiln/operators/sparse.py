@@ -1,4 +1,4 @@
-"""A stored sparse index: postings by bucket of the term's hash, document frequencies, and sums over all points.
+"""A stored sparse index: postings, sorted by term in each file, document frequencies, and sums over all points.
 
 ``build`` splits the corpus into words once; ``search`` reads the postings of asked terms once and never the corpus. Bounds that leave
 out blocks or common terms were tried and left: with passages as queries most of the best five hits share few rare terms, so the
@@ -21,26 +21,24 @@ def words(text: Column) -> Column:
 
 @dataclass
 class SparseIndex:
-    """An index at ``place``: postings (bucket, term, point_id, tf, len), terms (term, df), stats (n_docs, avg_len)."""
+    """An index at ``place``: postings (term, point_id, tf, len), terms (term, df), stats (n_docs, avg_len)."""
 
     spark: SparkSession
     place: str
 
     @classmethod
-    def build(cls, corpus: DataFrame, place: str, buckets: int | None = None) -> SparseIndex:
-        """``corpus``: point_id, text. One split into words, one exchange by point, one by bucket of the term's hash."""
+    def build(cls, corpus: DataFrame, place: str) -> SparseIndex:
+        """``corpus``: point_id, text. One split into words and one exchange, by point and term, so that common terms lie in all files."""
         spark = corpus.sparkSession
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         split = corpus.select("point_id", words(F.col("text")).alias("w")).filter("size(w) > 0")
         rows = split.select("point_id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term")).groupBy("point_id", "len", "term").agg(F.count("*").alias("tf"))
-        rows = rows.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
-        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{place}/postings")
+        rows.sortWithinPartitions("term").write.parquet(f"{place}/postings")
         spark.read.parquet(f"{place}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{place}/terms")
         split.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len")).write.parquet(f"{place}/stats")
         return cls(spark, place)
 
     def __post_init__(self):
-        self.postings = self.spark.read.parquet(f"{self.place}/postings").drop("bucket")
+        self.postings = self.spark.read.parquet(f"{self.place}/postings")
         self.terms = self.spark.read.parquet(f"{self.place}/terms")
         self.stats = self.spark.read.parquet(f"{self.place}/stats")
 
