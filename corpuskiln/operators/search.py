@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,26 +39,25 @@ QUERY_STRIP = 512  # of these multiplied with a batch of the corpus at once
 CORPUS_PART = 10_000  # corpus rows for which another part of the corpus is worth while
 
 
-def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float | None = None, top: int | None = None) -> DataFrame:
-    """(query_id, point_id, score) by cosine: all scores >= ``least``, or the ``top`` best of each query.
+SLACK = 1e-9  # equal vectors may differ by this in their scores
 
-    ``queries``: query_id, vec; ``corpus``: point_id, vec; null vectors are left out. Both are dealt by hash to tiles, a group
-    of queries by a part of the corpus, through one exchange: a task holds its group (``QUERIES_HELD`` on average) and
-    multiplies it with one batch of its part after the other, and hands on only what passes. No vector reaches the driver."""
-    spark = corpus.sparkSession
-    groups = max(1, -(-queries.count() // QUERIES_HELD))
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_PART)))
 
-    def dealt(df: DataFrame, side: int, key: str, n: int, others: int, tile: Callable[[Column, Column], Column]) -> DataFrame:
-        own, other = F.pmod(F.xxhash64(key), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        rows = df.filter("vec is not null").select(own.alias("_own"), other.alias("_other"), F.col(key).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-        return rows.select(tile(F.col("_own"), F.col("_other")).cast("long").alias("tile"), F.lit(side).alias("side"), "id", "vec")
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """Vectors of one width as rows of length 1; zero vectors stay zero."""
+    if pa.compute.count_distinct(pa.compute.list_value_length(column)).as_py() > 1:
+        raise ValueError("vectors of one table must have one number of components")
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    asked = dealt(queries, 0, "query_id", groups, parts, lambda group, part: group * parts + part)
-    found = dealt(corpus, 1, "point_id", parts, groups, lambda part, group: group * parts + part)
+
+def scores_of_tiles(rows: DataFrame, partitions: int, least: float | None = None, top: int | None = None, digits: int | None = None) -> DataFrame:
+    """(query_id, point_id, score) of rows (tile, side, id, vec): the queries of a tile (side 0) by its part of the corpus (side 1).
+
+    All scores >= ``least``, or the ``top`` best of each query, ranked (by scores of ``digits`` decimals, if given). A task keeps the ``top`` best scores that each query of
+    its tile has met, and hands on only what reaches them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, q = None, [], []
+        at, held = None, []
         for b in batches:
             tiles, sides = b.column(0).to_numpy(), b.column(1).to_numpy()
             edges = np.flatnonzero((tiles[1:] != tiles[:-1]) | (sides[1:] != sides[:-1])) + 1
@@ -65,27 +65,50 @@ def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float | None = N
                 if lo == hi:
                     continue
                 if tiles[lo] != at:
-                    at, ids, q = tiles[lo], [], []
-                x = np.array(b.column(3).slice(lo, hi - lo).to_pylist(), dtype=np.float64)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    at, held = tiles[lo], []
+                x, ids = unit_rows(b.column(3).slice(lo, hi - lo)), b.column(2).slice(lo, hi - lo)
                 if sides[lo] == 0:
-                    ids.append(b.column(2).slice(lo, hi - lo).to_numpy())
-                    q.append(x)
+                    held.append((ids.to_numpy(), x, None if top is None else np.full((len(x), top), -np.inf)))
                     continue
-                for held, m in zip(ids, q, strict=True):
+                for asked, m, best in held:
                     for first in range(0, len(m), QUERY_STRIP):
                         s = m[first : first + QUERY_STRIP] @ x.T
-                        if top is not None and s.shape[1] > top:
-                            i, j = np.nonzero(s >= np.partition(s, s.shape[1] - top, axis=1)[:, s.shape[1] - top][:, None])
+                        if best is None:
+                            floor = least if least is not None else -2.0
                         else:
-                            i, j = np.nonzero(s >= (least if least is not None else -2))
-                        yield pa.RecordBatch.from_arrays([pa.array(held[first + i]), b.column(2).slice(lo, hi - lo).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "point_id", "score"])
-
-    tiles = asked.unionByName(found).repartition(groups * parts, "tile").sortWithinPartitions("tile", "side")
-    out = tiles.mapInArrow(run, "query_id long, point_id long, score double")
+                            met = np.concatenate([best[first : first + QUERY_STRIP], np.where(np.isnan(s), -np.inf, s)], axis=1)
+                            best[first : first + QUERY_STRIP] = np.partition(met, met.shape[1] - top, axis=1)[:, met.shape[1] - top :]
+                            floor = best[first : first + QUERY_STRIP].min(axis=1, keepdims=True) - SLACK
+                        i, j = np.nonzero(np.isfinite(s) & (s >= floor))
+                        yield pa.RecordBatch.from_arrays([pa.array(asked[first + i]), ids.take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "point_id", "score"])
+
+    dealt = rows.select("tile", "side", "id", "vec").repartition(partitions, "tile").sortWithinPartitions("tile", "side")
+    out = dealt.mapInArrow(run, "query_id long, point_id long, score double")
+    out = out if digits is None else out.withColumn("score", F.round("score", digits))
     return out if top is None else ranked(out, "query_id", top)
 
 
+def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float | None = None, top: int | None = None) -> DataFrame:
+    """(query_id, point_id, score) by cosine: all scores >= ``least``, or the ``top`` best of each query.
+
+    ``queries``: query_id, vec; ``corpus``: point_id, vec; null vectors are left out. Both are dealt by hash to tiles, a group
+    of queries by a part of the corpus, through one exchange: a task holds its group (``QUERIES_HELD`` on average) and
+    multiplies it with one batch of its part after the other, and hands on only what passes. No vector reaches the driver."""
+    spark = corpus.sparkSession
+    groups = max(1, -(-queries.count() // QUERIES_HELD))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus.count() // CORPUS_PART)))
+
+    def dealt(df: DataFrame, side: int, key: str, n: int, others: int, tile: Callable[[Column, Column], Column]) -> DataFrame:
+        own, other = F.pmod(F.xxhash64(key), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        rows = df.filter("vec is not null").select(own.alias("_own"), other.alias("_other"), F.col(key).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        return rows.select(tile(F.col("_own"), F.col("_other")).cast("long").alias("tile"), F.lit(side).alias("side"), "id", "vec")
+
+    asked = dealt(queries, 0, "query_id", groups, parts, lambda group, part: group * parts + part)
+    found = dealt(corpus, 1, "point_id", parts, groups, lambda part, group: group * parts + part)
+
+    return scores_of_tiles(asked.unionByName(found), groups * parts, least, top)
+
+
 def ranked(hits: DataFrame, query: str | list[str], limit: int, *ties: str) -> DataFrame:
     """First ``limit`` hits of each query by score; ties by point."""
     keys = [query] if isinstance(query, str) else query

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ("plans.text_queries", "plans.search_queries", "plans.analytics_queries", "plans.state_queries", "plans.dataset_queries", "plans.account_queries", "plans.prompt_queries", "plans.evaluation_queries", "plans.upkeep_queries")
+_MODULES = ("plans.text_queries", "plans.search_queries", "plans.analytics_queries", "plans.state_queries", "plans.dataset_queries", "plans.account_queries", "plans.prompt_queries", "plans.evaluation_queries", "plans.upkeep_queries", "plans.dense_queries")
 
 
 def query(name: str, sql: str | None = None):
