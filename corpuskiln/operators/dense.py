@@ -50,14 +50,16 @@ class DenseIndex:
         as its rows are dealt to several tasks."""
         spark = points.sparkSession
         usable = points.filter(_usable("vec")).withColumn("vec", F.col("vec").cast("array<double>"))
-        n = usable.count()
+        n, narrow, wide = usable.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        if narrow != wide:
+            raise ValueError("vectors of one table must have one number of components")
         cells = int(min(most_cells, max(1, n // cell_rows)))
         some = usable.filter(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("point_id"), "point_id").limit(sample_rows)
         parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n, sample_rows) // 1000))
         some = some.select(array_to_vector("vec").alias("features")).repartition(parts)
         centres = []
         if not some.isEmpty():
-            centres = KMeans(k=cells, distanceMeasure="cosine", maxIter=8, seed=seed).fit(some).clusterCenters()
+            centres = KMeans(k=max(2, cells), distanceMeasure="cosine", maxIter=8, seed=seed).fit(some).clusterCenters()
         rows = [(i, [float(v) for v in c]) for i, c in enumerate(centres)]  # at most most_cells
         spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.parquet(f"{place}/centroids")
         index = DenseIndex(spark, place)
