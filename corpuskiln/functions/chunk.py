@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 CHARS = 4  # characters of a token
 LEAST = 50  # characters of a chunk
 CUT = "\x1e"  # a record separator marks where a text is split
+END = "\x1f"  # and a unit separator where a header ends
 
 
 def units(text: Column, limit: int, paragraph: str = r"\n\n+") -> Column:
@@ -59,7 +60,10 @@ def child_chunks(parents: DataFrame, act: str, chunk: str = "chunk", index: str
     return rows.select(*parents.columns, "parent_chunk_id", F.size("_kids").alias("total_children"), F.posexplode("_kids").alias("child_index", "child_text"))
 
 
-ARTICLE = r"(?m)^[ \t]*(?:Art\.|Artykuł|§)\s*\d+[\w.]*\.?[ \t]*$"
+SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # what counts as white space
+# The line of an article header, and the lines that open a part of a judgment; both in any case.
+ARTICLE = r"(?dmiU)^[ \t]*((?:Art\.|Artykuł|§)\s*\d+[\w.]*[a-z]?\.?)\s*$"
+HEADER = r"(?dmiu)^[ \t]*(TEZA|TEZY|SENTENCJA|OSNOWA|W IMIENIU RZECZYPOSPOLITEJ POLSKIEJ|UZASADNIENIE|MOTYWY ROZSTRZYGNIĘCIA)[ \t]*$"
 SECTIONS = {  # Fixed values: header lines of judgments and the part of the judgment that they open.
     "TEZA": "thesis",
     "TEZY": "thesis",
@@ -72,22 +76,58 @@ SECTIONS = {  # Fixed values: header lines of judgments and the part of the judg
 ORDER = ["thesis", "ruling", "preamble", "justification", "full"]
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def articles(text: Column) -> Column:
-    """Parts of an act that begin at article headers; the whole text where there are fewer than two."""
-    parts = F.split(F.regexp_replace(text, f"({ARTICLE})", f"{CUT}$1"), CUT)
-    return F.when(F.regexp_count(text, F.lit(ARTICLE)) < 2, F.array(text)).otherwise(F.filter(parts, lambda p: F.length(F.trim(p)) >= LEAST))
+    """Parts of an act that begin at article headers, each header glued to what follows it; the part before the first header stays.
+
+    The whole text where there are fewer than two headers or one part; parts of fewer than 50 characters go."""
+    parts = F.transform(F.split(F.regexp_replace(text, ARTICLE, f"{CUT}$1\n"), CUT), stripped)
+    parts = F.filter(parts, lambda p: p != "")
+    whole = (F.regexp_count(text, F.lit(ARTICLE)) < 2) | (F.size(parts) < 2)
+    return F.when(whole, F.array(text)).otherwise(F.filter(parts, lambda p: F.length(p) >= LEAST))
 
 
 def sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, section_text) of judgments: lines belong to the last header above them; before any: preamble."""
+    """(key, section, section_text) of judgments: lines belong to the last header above them; before any: preamble.
+
+    A section that is opened again goes on behind a blank line; those of fewer than 50 characters go."""
     table = F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair))
-    lines = F.transform(F.split(F.col(text), "\n"), lambda line: F.struct(line.alias("line"), F.element_at(table, F.upper(F.trim(line))).alias("label")))
-    empty = F.array().cast("array<struct<section:string,line:string>>")
-    start = F.struct(empty.alias("rows"), F.lit("preamble").alias("now"))
-    step = lambda acc, x: F.struct(F.when(x["label"].isNull(), F.concat(acc["rows"], F.array(F.struct(acc["now"].alias("section"), x["line"].alias("line"))))).otherwise(acc["rows"]).alias("rows"), F.coalesce(x["label"], acc["now"]).alias("now"))
-    rows = df.select(key, F.posexplode(F.aggregate(lines, start, step, lambda acc: acc["rows"])).alias("pos", "r"))
-    parts = rows.groupBy(key, F.col("r.section").alias("section")).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r.line"))), lambda s: s["line"]), "\n"), F.lit(" \n")).alias("section_text"))
-    return parts.filter(F.length("section_text") >= LEAST)
+    marked = F.split(F.regexp_replace(F.col(text), HEADER, f"{CUT}$1{END}"), CUT)
+
+    def run(part: Column, i: Column) -> Column:
+        label = F.when(i == 0, "preamble").otherwise(F.element_at(table, F.upper(F.split_part(part, F.lit(END), F.lit(1)))))
+        return F.struct(label.alias("section"), stripped(F.when(i == 0, part).otherwise(F.split_part(part, F.lit(END), F.lit(2)))).alias("line"))
+
+    runs = df.select(key, F.filter(F.transform(marked, run), lambda r: r["line"] != "").alias("runs"))
+    each = runs.select(key, "runs", F.explode(F.array_distinct(F.transform("runs", lambda r: r["section"]))).alias("section"))
+    own = F.transform(F.filter("runs", lambda r: r["section"] == F.col("section")), lambda r: r["line"])
+    return each.select(key, "section", F.array_join(own, "\n\n").alias("section_text")).filter(F.length("section_text") >= LEAST)
+
+
+def sentence_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
+    """Sentences and paragraphs joined to chunks of at most ``size`` words; each begins with the last ``overlap`` words of the one before.
+
+    A sentence is never cut: one of more than ``size`` words is a chunk, behind the carried words. Empty chunks go."""
+    words = lambda s: F.filter(F.split(s, f"{SPACE}+"), lambda w: w != "")
+    sentences = F.split(text, rf"(?<=[.!?]){SPACE}+|\n\n+")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(False).alias("open"), F.lit(0).alias("n"))
+
+    def step(acc: Column, sentence: Column) -> Column:
+        n = F.size(words(sentence))
+        full = acc["open"] & (acc["n"] + n > size)
+        carried = F.slice(words(acc["now"]), F.greatest(F.size(words(acc["now"])) - overlap, F.lit(0)) + 1, F.lit(overlap))
+        now = F.when(full, F.concat(F.array_join(carried, " "), F.lit(" "), sentence))
+        return F.struct(
+            F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
+            now.when(acc["open"], F.concat(acc["now"], F.lit(" "), sentence)).otherwise(sentence).alias("now"),
+            F.lit(True).alias("open"),
+            (F.when(full, F.size(carried)).otherwise(acc["n"]) + n).alias("n"),
+        )
+
+    return F.filter(F.transform(F.aggregate(sentences, start, step, lambda acc: F.array_append(acc["done"], acc["now"])), stripped), lambda c: c != "")
 
 
 def word_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:

@@ -8,6 +8,7 @@ from corpuskiln.functions import chunk as C
 from corpuskiln.functions import text as X
 from corpuskiln.operators.state import last_write
 from corpuskiln.registry import query, table
+from corpuskiln.sources.readers import judgment_columns
 
 
 @query("doc_payload", "SELECT doc_id, source, CASE WHEN source = 'src1' THEN 'legislation' WHEN source = 'src2' THEN 'judgment_sn' ELSE 'unknown' END AS source_type, lower(trim(CASE WHEN doc_id % 5 = 0 THEN ' UCHYLONY ' ELSE lang END)) IN ('uchylony', 'nieobowiązujący') AS is_repealed, md5(text) AS text_hash, greatest(1, length(text) // 4)::BIGINT AS approx_tokens, coalesce(try_cast(left((1990 + doc_id % 40)::VARCHAR || '-x', 4) AS INTEGER), 0) AS year FROM documents")
@@ -122,3 +123,76 @@ def ellipsis_500(spark, sf):
 @query("latest_version", "SELECT text_hash, doc_id FROM (SELECT md5(text) AS text_hash, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
 def latest_version(spark, sf):
     return last_write(table(spark, sf, "documents").select(F.md5("text").alias("text_hash"), "doc_id"), ["text_hash"], [F.desc("doc_id")])
+
+
+_WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{_WS}+|{_WS}+\z', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '{_WS}+'), lambda w: w <> '')"
+
+
+@query(
+    "sentence_chunks",
+    rf"""WITH RECURSIVE s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){_WS}+|\n\n+', '\1' || chr(30), 'g'), chr(30)) AS ss FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, ss, list_transform(ss, lambda x: len({_words("x")})) AS n FROM s), c AS (SELECT doc_id, ss, list_transform(range(1, len(n) + 1), lambda k: list_sum(n[1:k])) AS c FROM n),
+r(doc_id, ss, c, a, b, k, carried, chunk) AS (
+SELECT doc_id, ss, c, 1::BIGINT, e, 0, '', array_to_string(ss[1:e], ' ') FROM (SELECT *, 1 + len(list_filter(range(2, len(ss) + 1), lambda j: c[j] <= 512)) AS e FROM c)
+UNION ALL SELECT doc_id, ss, c, b + 1, e, k + 1, w, w || ' ' || array_to_string(ss[b + 1:e], ' ') FROM (SELECT doc_id, ss, c, b, k, array_to_string(ws, ' ') AS w, b + 1 + len(list_filter(range(b + 2, len(ss) + 1), lambda j: len(ws) + c[j] - c[b] <= 512)) AS e
+FROM (SELECT *, {_words("chunk")}[-64:] AS ws FROM r WHERE b < len(ss))))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS chunk_index, md5(t) AS h FROM (SELECT doc_id, k, {_strip("chunk")} AS t FROM r) WHERE t <> ''""",
+)
+def sentence_chunks(spark, sf):
+    """Chunks of private documents, by sentences with carried words."""
+    d = table(spark, sf, "documents").withColumn("cs", C.sentence_chunks(F.col("text")))
+    return C.explode_chunks(d, "cs", "doc_id").select("doc_id", "chunk_index", F.md5("chunk").alias("h"))
+
+
+@query(
+    "act_articles",
+    rf"""WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+q AS (SELECT *, list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i = 1 THEN {_strip("ls[1]")} WHEN {_strip("ls[i]")} = '' THEN '' ELSE 'art. 5b' || chr(10) || chr(10) || regexp_replace(ls[i], '{_WS}+\z', '') END), lambda x: x <> '') AS ps FROM p)
+SELECT doc_id, unnest(CASE WHEN len(ls) < 3 OR len(ps) < 2 THEN [md5(replace(text, chr(10), chr(10) || ' art. 5b ' || chr(10)))] ELSE list_transform(list_filter(ps, lambda x: length(x) >= 50), lambda x: md5(x)) END) AS h FROM q""",
+)
+def act_articles(spark, sf):
+    """Documents as acts, each of whose lines but the first stands under a header of its own in lower case."""
+    act = F.replace("text", F.lit("\n"), F.lit("\n art. 5b \n"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(F.transform(C.articles(act), F.md5)).alias("h"))
+
+
+@query(
+    "judgment_sections",
+    rf"""WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {_strip("x")}) AS ls FROM documents),
+q AS (SELECT doc_id, 'preamble' AS section, ls[1] AS t FROM p UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'thesis' ELSE 'justification' END, array_to_string(list_filter(ls[2:], lambda x: x <> ''), chr(10) || chr(10)) FROM p)
+SELECT doc_id, section, md5(t) AS h FROM q WHERE length(t) >= 50""",
+)
+def judgment_sections(spark, sf):
+    """Documents as judgments, each of whose lines but the first stands under the same header, which is opened again and again."""
+    header = F.when(F.col("doc_id") % 2 == 0, "\n\tTezy \n").otherwise("\nuzasadnienie\n")
+    d = table(spark, sf, "documents").withColumn("t", F.replace("text", F.lit("\n"), header))
+    return C.sections(d, "doc_id", "t").select("doc_id", "section", F.md5("section_text").alias("h"))
+
+
+@query(
+    "judgment_titles",
+    """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS cn, CASE WHEN doc_id % 4 > 0 THEN (1990 + doc_id % 30) || '-05-01' END AS d, doc_id % 7 AS m FROM documents)
+SELECT CASE WHEN m = 6 THEN 'saos_' || doc_id ELSE 'j' || doc_id END AS id, ['', 'Sąd Najwyższy', 'Sąd Administracyjny (NSA/WSA)', 'Trybunał Konstytucyjny', 'Sąd Powszechny', 'Krajowa Izba Odwoławcza', 'OTHER'][m + 1] || ' | ' || coalesce(cn, '') || ' | ' || coalesce(d, '') AS title,
+coalesce(left(d, 4), '') AS year, ['', 'SUPREME', 'ADMINISTRATIVE', 'CONSTITUTIONAL_TRIBUNAL', 'COMMON', 'NATIONAL_APPEAL_CHAMBER', 'OTHER'][m + 1] AS publisher, coalesce(cn, '') AS pos, '' AS url FROM p""",
+)
+def judgment_titles(spark, sf):
+    """Documents as judgments of all types of courts, one of them unknown, with missing types, cases, dates and ids."""
+    m, i = F.col("doc_id") % 7, F.col("doc_id")
+    kinds = F.array(*(F.lit(k) for k in [None, "SUPREME", "ADMINISTRATIVE", "CONSTITUTIONAL_TRIBUNAL", "COMMON", "NATIONAL_APPEAL_CHAMBER", "OTHER"]))
+    rows = table(spark, sf, "documents").select(
+        F.when(m != 6, F.concat(F.lit("j"), i)).alias("id"),
+        i.cast("string").alias("saos_id"),
+        F.get(kinds, m.cast("int")).alias("court_type"),
+        F.when(i % 9 != 0, F.col("source")).alias("case_number"),
+        F.when(i % 4 > 0, F.concat((1990 + i % 30).cast("string"), F.lit("-05-01"))).alias("judgment_date"),
+        F.lit(None).cast("string").alias("source_url"),
+    )
+    return rows.select(*(c.alias(n) for n, c in judgment_columns().items()))

@@ -86,13 +86,43 @@ def tax_rulings(items: DataFrame) -> DataFrame:
     return items.select(F.concat(F.lit("kis_"), "id").alias("id"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Interpretacja "), "signature")).alias("title"), year.alias("year"), F.lit("KIS").alias("publisher"), F.col("signature").alias("pos"), tax_types(F.col("topics")).alias("tax_type"), F.trim("text").alias("raw_text")).filter(F.length("raw_text") >= 50)
 
 
+COURTS = {  # Fixed values: labels of the types of courts.
+    "SUPREME": "Sąd Najwyższy",
+    "ADMINISTRATIVE": "Sąd Administracyjny (NSA/WSA)",
+    "CONSTITUTIONAL_TRIBUNAL": "Trybunał Konstytucyjny",
+    "COMMON": "Sąd Powszechny",
+    "NATIONAL_APPEAL_CHAMBER": "Krajowa Izba Odwoławcza",
+}
+
+
+def judgment_columns() -> dict[str, Column]:
+    """What a judgment has in the columns of RAW: the court's label, case and date as its title; missing values are empty."""
+    some = lambda c: F.coalesce(F.col(c), F.lit(""))
+    labels = F.create_map(*(F.lit(x) for pair in COURTS.items() for x in pair))
+    label = F.coalesce(F.element_at(labels, F.col("court_type")), some("court_type"))
+    return {
+        "id": F.coalesce("id", F.concat(F.lit("saos_"), some("saos_id"))),
+        "title": F.concat_ws(" | ", label, some("case_number"), some("judgment_date")),
+        "year": F.substring(some("judgment_date"), 1, 4),
+        "publisher": some("court_type"),
+        "pos": some("case_number"),
+        "url": some("source_url"),
+    }
+
+
+def act_columns() -> dict[str, Column]:
+    """What an act has in the columns of RAW: missing values are empty, but for the publisher."""
+    out = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "title", "year", "pos", "url", "status")}
+    return {**out, "publisher": F.coalesce("publisher", F.lit("WDU"))}
+
+
 def canonical(*sources: DataFrame) -> DataFrame:
     """Records of all sources in the columns of RAW; missing columns are null."""
     names = [c.split()[0] for c in RAW.split(", ")]
     out = None
     for s in sources:
         if "text_html" in s.columns:
-            s = s.select("id", F.concat_ws(" | ", "court_type", "case_number", "judgment_date").alias("title"), F.substring("judgment_date", 1, 4).alias("year"), F.col("court_type").alias("publisher"), F.col("source_url").alias("url"), F.col("text_html").alias("raw_text"))
+            s = s.select(*(c.alias(n) for n, c in judgment_columns().items()), F.col("text_html").alias("raw_text"))
         s = s.select(*[F.col(c).cast("string").alias(c) for c in names if c in s.columns])
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
     return out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in names))
