@@ -2,7 +2,8 @@
 
 The exact search is the default. It searches the cells nearest to a query first, takes the score that the last of its ``top`` hits
 has there, and then searches every other cell that can hold a vector as near: no vector of a cell is nearer to a query than the angle
-between query and centroid, less the cell's radius (its greatest angle). With ``probes`` it ends after that many cells, and
+between query and centroid, less the cell's radius (its greatest angle). In this second step cells that lie together are one block of
+about ``CORPUS_PART`` rows, so that a query that many cells can serve is sent once for each block, not once for each cell. With ``probes`` it ends after that many cells, and
 ``recall`` measures what that loses.
 
 Centroids are fitted on a bounded sample (``sample_rows``, least hashes of the ids); every row is indexed. Vectors that are null or
@@ -114,11 +115,26 @@ class DenseIndex:
         """All indexed rows."""
         return self.spark.read.parquet(f"{self.place}/cells")
 
-    def _routes(self, asked: DataFrame, probes: int, rest: bool) -> DataFrame:
-        """(query_id, vec, cell) of queries (query_id, vec, floor): the ``probes`` nearest cells, or those of the rest that can reach the floor."""
+    def _blocks(self) -> dict[int, int]:
+        """Block of each cell: cells in the order of their centroids' main direction, joined to blocks of about ``CORPUS_PART`` rows."""
+        cells = sorted(c for c in self.stats if c < len(self.centres))
+        if cells:
+            own = self.centres[cells]
+            cells = np.array(cells)[np.argsort(own @ np.linalg.svd(own - own.mean(axis=0), full_matrices=False)[2][0], kind="stable")].tolist()
+        out, block, held = {}, 0, 0
+        for c in [*cells, *(c for c in self.stats if c >= len(self.centres))]:  # at most most_cells + 1
+            if held and held + self.stats[c][1] > S.CORPUS_PART:
+                block, held = block + 1, 0
+            out[c], held = block, held + self.stats[c][1]
+        return out
+
+    def _routes(self, asked: DataFrame, probes: int, blocks: dict[int, int] | None = None) -> DataFrame:
+        """(query_id, vec, block) of queries (query_id, vec, floor): the ``probes`` nearest cells, each its own block, or the ``blocks`` with other
+        cells that can reach the floor."""
         centres, numbers = self.centres, np.array(sorted(self.stats), np.int32)
         radii = np.array([self.stats[c][0] for c in numbers.tolist()])
         central = numbers < len(centres)
+        block = numbers if blocks is None else np.array([blocks[c] for c in numbers.tolist()], np.int32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -129,33 +145,41 @@ class DenseIndex:
                 near[:, central] = x @ centres[numbers[central]].T if central.any() else 0
                 first = np.zeros(near.shape, bool)
                 np.put_along_axis(first, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
-                if rest:
+                if blocks is not None:
                     most = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radii))  # no vector of the cell is nearer
                     most[:, ~central] = 0.0  # zero vectors
                     most[~np.any(x != 0, axis=1)] = 0.0
                     first = ~first & (most >= b.column("floor").to_numpy(zero_copy_only=False)[:, None] - 2 * S.SLACK)
                 i, j = np.nonzero(first)
-                part = b.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("vec"), pa.array(numbers[j])], names=["query_id", "vec", "cell"])
-
-        return asked.select("query_id", "vec", "floor").mapInArrow(run, "query_id long, vec array<double>, cell int")
-
-    def _hits(self, routes: DataFrame, top: int, where: list[Column]) -> DataFrame:
-        """The best ``top`` of each query in the cells that it is sent to. A cell is dealt in tiles: groups of its queries by parts of its rows."""
-        sent = {r.cell: r["count"] for r in routes.groupBy("cell").count().collect()}  # at most most_cells + 1
+                sent = np.unique(np.column_stack([i, block[j]]), axis=0)
+                part = b.take(pa.array(sent[:, 0]))
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("vec"), pa.array(sent[:, 1].astype(np.int32))], names=["query_id", "vec", "block"])
+
+        return asked.select("query_id", "vec", "floor").mapInArrow(run, "query_id long, vec array<double>, block int")
+
+    def _hits(self, routes: DataFrame, top: int, where: list[Column], blocks: dict[int, int] | None = None) -> DataFrame:
+        """The best ``top`` of each query in the blocks that it is sent to. A block is dealt in tiles: groups of its queries by parts of its rows."""
+        sent = {r.block: r["count"] for r in routes.groupBy("block").count().collect()}  # at most most_cells + 1
+        cells, size = [], dict.fromkeys(sent, 0)
+        for cell, (_, n) in self.stats.items():
+            block = cell if blocks is None else blocks[cell]
+            if block in sent:
+                cells.append((cell, block))
+                size[block] += n
         plan, tiles = [], 0
-        for cell, n in sorted(sent.items()):
-            groups, parts = -(-n // S.QUERIES_HELD), max(1, -(-self.stats[cell][1] // S.CORPUS_PART))
-            plan.append((cell, groups, parts, tiles))
+        for block, n in sorted(sent.items()):
+            groups, parts = -(-n // S.QUERIES_HELD), max(1, -(-size[block] // S.CORPUS_PART))
+            plan.append((block, groups, parts, tiles))
             tiles += groups * parts
-        dealing = F.broadcast(self.spark.createDataFrame(plan, "cell int, groups long, parts long, base long"))  # one row of each cell
+        dealing = F.broadcast(self.spark.createDataFrame(plan, "block int, groups long, parts long, base long"))  # one row of each block
+        of_cell = F.broadcast(self.spark.createDataFrame(cells, "cell int, block int"))  # one row of each cell
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
-        queries = routes.join(dealing, "cell").select("base", "parts", own("query_id", "groups").alias("g"), each("parts").alias("p"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "vec")
+        queries = routes.join(dealing, "block").select("base", "parts", own("query_id", "groups").alias("g"), each("parts").alias("p"), F.lit(0).alias("side"), F.col("query_id").alias("id"), "vec")
         stored = self.rows()
-        for condition in [F.col("cell").isin(list(sent)) if len(sent) < len(self.stats) else None, *where]:
+        for condition in [F.col("cell").isin([c for c, _ in cells]) if len(cells) < len(self.stats) else None, *where]:
             stored = stored if condition is None else stored.filter(condition)
-        corpus = stored.join(dealing, "cell").select("base", "parts", each("groups").alias("g"), own("point_id", "parts").alias("p"), F.lit(1).alias("side"), F.col("point_id").cast("long").alias("id"), "vec")
+        corpus = stored.join(of_cell, "cell").join(dealing, "block").select("base", "parts", each("groups").alias("g"), own("point_id", "parts").alias("p"), F.lit(1).alias("side"), F.col("point_id").cast("long").alias("id"), "vec")
         rows = queries.unionByName(corpus).withColumn("tile", F.col("base") + F.col("g") * F.col("parts") + F.col("p"))
         return S.scores_of_tiles(rows, max(1, min(tiles, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), top=top, digits=9)
 
@@ -167,7 +191,7 @@ class DenseIndex:
         asked = queries.filter(_usable("vec")).select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(-2.0).alias("floor"))
         if not self.stats:
             return self.spark.createDataFrame([], "query_id long, point_id long, score double, rank int")
-        near = self._hits(self._routes(asked, probes or FIRST, False), top, where or [])
+        near = self._hits(self._routes(asked, probes or FIRST), top, where or [])
         if probes is not None:
             return S.ranked(near, "query_id", top)
         place = shared_place(self.spark, "near")
@@ -175,8 +199,10 @@ class DenseIndex:
         near = self.spark.read.parquet(place)
         floor = near.groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("score")).alias("_f"))
         again = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("_f", F.lit(-2.0)))
-        far = self._hits(self._routes(again, FIRST, True), top, where or [])
-        return S.ranked(near.unionByName(far), "query_id", top)
+        blocks = self._blocks()
+        far = self._hits(self._routes(again, FIRST, blocks), top, where or [], blocks)
+        both = near.unionByName(far).groupBy("query_id", "point_id").agg(F.max("score").alias("score"))  # a block holds cells that were searched
+        return S.ranked(both, "query_id", top)
 
     def recall(self, queries: DataFrame, top: int, probes: int) -> tuple[int, int]:
         """How many of the ``top`` best pairs of all rows are found with so many probes, and how many there are."""
