@@ -28,3 +28,37 @@ def test_tiles_give_all_pairs(spark, monkeypatch, held, part):
 def test_no_queries(spark):
     empty = spark.createDataFrame([], "query_id long, vec array<double>")
     assert S.similar_pairs(empty, spark.createDataFrame([(1, [1.0])], "point_id long, vec array<double>"), top=3).count() == 0
+
+
+def _labelled(spark, n=40, queries=17, seed=9):
+    """Vectors of small whole numbers (many equal scores) with labels, some of them null."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-2, 3, (n, 3)).astype(float)
+    x[3] = x[4]
+    label = [None if i % 9 == 0 else i % 4 for i in range(n)]
+    rows = [(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return rows, label, np.round(u[:queries] @ u.T, 9)
+
+
+@pytest.mark.parametrize("held,part,batch", [(3, 7, 5), (1000, 1000, 1000)])
+def test_best_of_each_kind(spark, monkeypatch, held, part, batch):
+    """The best of each query in each kind, whatever the tiles and batches; tasks hand on fewer rows than there are pairs."""
+    monkeypatch.setattr(S, "QUERIES_HELD", held)
+    monkeypatch.setattr(S, "CORPUS_PART", part)
+    rows, label, score = _labelled(spark)
+    corpus = spark.createDataFrame(rows, "point_id long, vec array<double>, kind int")
+    asked = spark.createDataFrame([r[:2] for r in rows[:17]], "query_id long, vec array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = S.similar_pairs(asked, corpus, top=2, kinds="each").selectExpr("query_id", "point_id", "kind", "round(score, 9) score").collect()
+        own = S.similar_pairs(asked.join(corpus.selectExpr("point_id query_id", "kind"), "query_id").filter("kind is not null"), corpus.filter("kind is not null"), kinds="own").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for q in range(17):
+        for k in {*label}:
+            want = sorted((-score[q, p] for p in range(40) if label[p] == k))[:2]
+            assert sorted(-r.score for r in got if r.query_id == q and r.kind == k) == pytest.approx(want)
+    assert len(own) == sum(label[q] == label[p] and label[q] is not None for q in range(17) for p in range(40))
+    assert all(abs(r.score - score[r.query_id, r.point_id]) < 1e-6 for r in own)
