@@ -62,3 +62,21 @@ def test_best_of_each_kind(spark, monkeypatch, held, part, batch):
             assert sorted(-r.score for r in got if r.query_id == q and r.kind == k) == pytest.approx(want)
     assert len(own) == sum(label[q] == label[p] and label[q] is not None for q in range(17) for p in range(40))
     assert all(abs(r.score - score[r.query_id, r.point_id]) < 1e-6 for r in own)
+
+
+@pytest.mark.parametrize("held,part", [(3, 7), (1000, 1000)])
+def test_best_query_of_each_owner(spark, monkeypatch, held, part):
+    """For each point the best other query of each owner, ties by the least query, and one row of a point and owner from a task."""
+    monkeypatch.setattr(S, "QUERIES_HELD", held)
+    monkeypatch.setattr(S, "CORPUS_PART", part)
+    rows, label, score = _labelled(spark)
+    corpus = spark.createDataFrame([r[:2] for r in rows], "point_id long, vec array<double>")
+    asked = spark.createDataFrame(rows[:17], "query_id long, vec array<double>, kind int")
+    for least in (None, 0.45):
+        want = {}
+        for p in range(40):
+            for k in {*label[:17]}:
+                met = [(-score[q, p], q) for q in range(17) if label[q] == k and q != p and (least is None or score[q, p] >= least)]
+                if met:
+                    want[p, k] = min(met)[1]
+        assert {(r.point_id, r.kind): r.query_id for r in S.best_queries(asked, corpus, least).collect()} == want
