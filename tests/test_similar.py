@@ -80,3 +80,26 @@ def test_best_query_of_each_owner(spark, monkeypatch, held, part):
                 if met:
                     want[p, k] = min(met)[1]
         assert {(r.point_id, r.kind): r.query_id for r in S.best_queries(asked, corpus, least).collect()} == want
+
+
+def test_hits_of_kinds_rank_no_pairs(spark, sf, monkeypatch):
+    """fanout_topk and compare_panels rank what tasks kept of each kind, cosine_columns multiplies tiles: before, all pairs were sorted or folded one by one."""
+    from corpuskiln.plans import search_queries as Q
+
+    asked = []
+    real = S.scores_of_tiles
+    monkeypatch.setattr(S, "scores_of_tiles", lambda *a, **k: asked.append((a[3] if len(a) > 3 else k.get("top"), k.get("kinds"))) or real(*a, **k))
+    Q.fanout_topk(spark, sf), Q.compare_panels(spark, sf), Q.cosine_columns(spark, sf)
+    assert asked == [(5, "each"), (6, "each"), (None, "own")]
+    assert "Join" not in Q.variant_merge(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_vectors_have_null_scores(spark, tmp_path):
+    """cosine_columns keeps the pairs of null and zero vectors, as its SQL does."""
+    from corpuskiln.plans.search_queries import cosine_columns
+
+    rows = [(0, [1.0, 0.0], 1), (20, None, 1), (3, None, 1), (4, [1.0, 1.0], 1), (5, [1.0, 1.0], None), (40, [0.0, 1.0], None), (6, [0.0, 0.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.point_id): r.score for r in cosine_columns(spark, str(tmp_path)).collect()}
+    assert np.isnan(got.pop((0, 6)))
+    assert got == {(0, 0): 1.0, (0, 20): None, (0, 3): None, (0, 4): 0.707107, (20, 6): None, **{(20, p): None for p in (0, 20, 3, 4)}}
