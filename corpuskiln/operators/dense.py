@@ -31,6 +31,13 @@ from corpuskiln.operators.store import shared_place
 FIRST = 4  # cells of a query that the exact search looks at first
 
 
+def _strips(b: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of which a matrix with ``width`` columns has at most ``PAIRS_HELD`` / 4 cells: a task holds several such."""
+    step = max(1, S.PAIRS_HELD // 4 // max(1, width))
+    for lo in range(0, b.num_rows, step):
+        yield b.slice(lo, step)
+
+
 def _usable(vec: str) -> Column:
     good = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.coalesce((F.size(vec) > 0) & good, F.lit(False))
@@ -85,9 +92,7 @@ class DenseIndex:
         centres = self.centres
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in (part for batch in batches for part in _strips(batch, len(centres))):
                 x = S.unit_rows(b.column("vec"))
                 cell, near = np.full(len(x), len(centres), np.int32), np.full(len(x), -1.0)
                 some = np.flatnonzero(np.any(x != 0, axis=1))
@@ -137,9 +142,7 @@ class DenseIndex:
         block = numbers if blocks is None else np.array([blocks[c] for c in numbers.tolist()], np.int32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in (part for batch in batches for part in _strips(batch, len(numbers))):
                 x = S.unit_rows(b.column("vec"))
                 near = np.full((len(x), len(numbers)), -1.0)
                 near[:, central] = x @ centres[numbers[central]].T if central.any() else 0

@@ -99,3 +99,20 @@ def test_empty_and_zero_tables(spark, tmp_path):
 def test_vectors_of_two_widths_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="one number of components"):
         DenseIndex.build(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0], 0)], POINT).coalesce(1), str(tmp_path / "w"))
+
+
+def test_rows_meet_cells_in_strips(spark, tmp_path, monkeypatch):
+    """No matrix of a batch's rows by all cells: what a task holds does not grow with the number of cells. The results are the same."""
+    import pyarrow as pa
+
+    from corpuskiln.operators import dense
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["x"])
+    parts = list(dense._strips(b, 4097))
+    assert sum(p.num_rows for p in parts) == 10_000 and max(p.num_rows for p in parts) * 4097 * 8 <= 1 << 21
+    monkeypatch.setattr(S, "PAIRS_HELD", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist(), i % 2) for i in range(90)]
+    index = DenseIndex.build(spark.createDataFrame(rows, POINT), f"{tmp_path}/index", cell_rows=10)
+    queries = [(i, v) for i, v, _ in rows[:12]]
+    assert _found(index.search(spark.createDataFrame(queries, QUERY), 5)) == _brute(rows, queries, 5)
