@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as X
 from corpuskiln.operators import search as S
+from corpuskiln.operators.sparse import SparseIndex
+from corpuskiln.operators.store import shared_place
 
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
@@ -160,11 +162,14 @@ class Retriever:
         return S.ranked(out.drop("rank"), "query_id", most)
 
     def _sparse(self, variants: DataFrame, corpus: DataFrame, most: int, routed: bool) -> DataFrame:
-        hits = S.bm25(S.terms(variants.select(F.col("key").alias("query_id"), "question"), "query_id", "question"), S.terms(corpus, "point_id", "text"))
-        if routed:
-            hits = hits.join(variants.select(F.col("key").alias("query_id"), "_topic"), "query_id").join(corpus.select("point_id", "_kind"), "point_id")
-            hits = hits.filter(F.col("_topic").isNull() | (F.col("_topic") == F.col("_kind"))).drop("_topic", "_kind")
-        return S.ranked(hits, "query_id", most)
+        """By words, over a stored index of the whole corpus; each topic's points meet only the questions that may have them."""
+        index = SparseIndex.build(corpus.select("point_id", "text", "_kind"), shared_place(corpus.sparkSession, "sparse"))
+        out = None
+        for kind in [*ROUTES, "other"] if routed else ["other"]:
+            asked = variants.filter(F.col("_topic").isNull() | (F.col("_topic") == kind)).select(F.col("key").alias("query_id"), F.col("question").alias("text"))
+            hits = index.search(asked, most, where=F.col("_kind") == kind, digits=9).drop("rank")
+            out = hits if out is None else out.unionByName(hits)
+        return S.ranked(out, "query_id", most)
 
     def _context(self, hits: DataFrame, corpus: DataFrame) -> DataFrame:
         """Parents in place of children; neighbours of hits of questions without any child."""
