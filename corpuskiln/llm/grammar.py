@@ -53,7 +53,7 @@ _HEAD = struct.Struct("<4s6I")
 _MAGIC = b"RPG1"
 _TABLED = 64  # rules that expand to so many ids at most are expanded by one lookup
 _SLOTS = 16
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD, _SPREAD32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B9)
 _NONE = np.int32(1 << 30)
 _SHARDS = "part int, nth int, n_docs long, n_tokens long, doc_ids array<long>, lengths array<int>, body binary"
 
@@ -77,13 +77,21 @@ def _frequent(key: np.ndarray, least: int | None, room: int) -> tuple[np.ndarray
     return s[begin[some]], least
 
 
+def _slots(key: np.ndarray) -> np.ndarray:
+    if key.dtype == np.uint32:
+        return key * _SPREAD32 >> np.uint32(32 - _SLOTS)
+    return (key * _SPREAD >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
 def _ranks(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Rank of each pair among the chosen ones, or _NONE. Of chosen pairs on one slot only the first is used in this round."""
-    slot = lambda k: (k.astype(np.uint64) * _SPREAD >> np.uint64(64 - _SLOTS)).astype(np.int64)
-    table = np.full(1 << _SLOTS, -1, dtype=np.int32)
-    table[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
-    got = table[slot(key)]
-    return np.where((got >= 0) & (chosen[got] == key), got, _NONE)
+    table = np.full(1 << _SLOTS, len(chosen), dtype=np.int32)
+    table[_slots(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+    got = table[_slots(key)]
+    some = np.flatnonzero(got < len(chosen))
+    rank, got = np.full(len(key), _NONE, dtype=np.int32), got[some]
+    rank[some] = np.where(chosen[got] == key[some], got, _NONE)
+    return rank
 
 
 def compress(ids: np.ndarray, first: np.ndarray, base: int | None = None, max_rules: int = MAX_RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,16 +99,18 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int | None = None, max_ru
 
     ``first`` holds the documents' offsets and the end; nonterminals count from ``base`` (default: above the largest id)."""
     base = int(ids.max(initial=0)) + 1 if base is None else base
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), dtype=bool)
+    half = 16 if max(base, int(ids.max(initial=0)) + 1) + max_rules <= 1 << 16 else 32  # a pair is one number of twice these bits
+    seq, last = ids.astype(np.uint32 if half == 16 else np.uint64), np.zeros(len(ids), dtype=bool)
     last[first[1:][first[1:] > first[:-1]] - 1] = True
     rules, lengths = [np.zeros((0, 2), dtype=np.int64)], np.ones(0, dtype=np.int64)
     made, least = 0, None
     while len(seq) > 1 and made < max_rules:
-        at = np.flatnonzero(~last[:-1])
-        key = seq[at] << 32 | seq[at + 1]
-        chosen, least = _frequent(key, least, min(max_rules - made, 1 << _SLOTS - 2))
+        inner = ~last[:-1]
+        key = seq[:-1] << seq.dtype.type(half) | seq[1:]
+        chosen, least = _frequent(key[inner], least, min(max_rules - made, 1 << _SLOTS - 2))
         rank = np.full(len(seq) + 1, _NONE, dtype=np.int32)  # rank[i + 1] is that of the pair (i, i + 1); rank[0] of none
-        rank[at + 1] = _ranks(key, chosen) if len(chosen) else _NONE
+        if len(chosen):
+            rank[1:-1] = np.where(inner, _ranks(key, chosen), _NONE)
         own, before, after = rank[1:-1], rank[:-2], rank[2:]
         hit = np.flatnonzero((own < _NONE) & (own <= before) & (own <= after))
         if LEAST_GAIN * len(hit) < len(seq):
@@ -112,8 +122,9 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int | None = None, max_ru
         place = np.arange(len(hit))
         hit = hit[(place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0]
         used = np.bincount(own[hit], minlength=len(chosen)) > 0
-        number = np.cumsum(used) - 1 + base + made
-        pair = np.stack([chosen[used] >> 32, chosen[used] & 0xFFFFFFFF], axis=1)
+        number = (np.cumsum(used) - 1 + base + made).astype(seq.dtype)
+        pair = chosen[used].astype(np.uint64)
+        pair = np.stack([pair >> np.uint64(half), pair & np.uint64((1 << half) - 1)], axis=1).astype(np.int64)
         each = [np.where(side >= base, lengths[np.maximum(side - base, 0)] if made else 1, 1) for side in pair.T]
         rules.append(pair)
         lengths = np.append(lengths, each[0] + each[1])
@@ -124,7 +135,7 @@ def compress(ids: np.ndarray, first: np.ndarray, base: int | None = None, max_ru
         seq, last = seq[keep], last[keep]
         made += len(pair)
     ends = np.flatnonzero(last) + 1
-    return np.concatenate(rules), lengths, seq, np.append(0, ends)
+    return np.concatenate(rules), lengths, seq.astype(np.int64), np.append(0, ends)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:

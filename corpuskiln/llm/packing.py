@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.json_path, self._whole = json_path, None
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}  # 32-bit ids of a chunk
         visible = np.zeros(256, dtype=bool)
         visible[0x21:0x7F] = True
         visible[0xC3] = True  # leads U+00C0..U+00FF, none of which is white space
@@ -90,14 +91,14 @@ class Encoder:
             key = raw[s:e]
             got = cache.get(key)
             if got is None:
-                got = encode(key.decode("utf-8", "replace"))
+                got = array("i", encode(key.decode("utf-8", "replace"))).tobytes()
                 if len(cache) >= self.CACHE:
                     cache.clear()
                 if e - s < 64:
                     cache[key] = got
             ids.append(got)
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        table = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(size.sum()))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), dtype=np.int32)
         base = np.cumsum(size) - size
         each = size[inv]
         total = np.cumsum(each)

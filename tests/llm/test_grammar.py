@@ -54,3 +54,19 @@ def test_cases(spark, tmp_path):
     place = str(tmp_path / "few")
     grammar.write(table(spark, [(5, None), (3, "")]), place)
     assert [tuple(r) for r in grammar.read(spark, place).orderBy("start").collect()] == [(3, 0, 1, zlib.crc32(bytes(4))), (5, 1, 1, zlib.crc32(bytes(4)))]
+
+
+def test_wide_and_narrow_pairs_give_the_same_grammar(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids, first = np.tile(rng.integers(0, 60, 300), 40), np.array([0, 5000, 12000])
+    monkeypatch.setattr(grammar, "_SLOTS", 26)  # no two pairs on one slot
+    narrow, wide = grammar.compress(ids, first, base=100, max_rules=1000), grammar.compress(ids, first, base=100, max_rules=1 << 17)
+    assert all(np.array_equal(x, y) for x, y in zip(narrow, wide, strict=True))
+    assert np.array_equal(grammar.expand(narrow[2], narrow[0], narrow[1], 100), ids)
+
+
+def test_remembered_chunks_are_small():
+    enc = packing.Encoder(*packing.vocabulary_paths())
+    text = np.frombuffer(b"one two three", dtype=np.uint8)
+    enc.slice(text, np.array([0, len(text)]))
+    assert all(isinstance(x, bytes) for x in enc.cache.values())
