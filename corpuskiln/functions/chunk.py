@@ -61,6 +61,8 @@ def child_chunks(parents: DataFrame, act: str, chunk: str = "chunk", index: str
 
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # what counts as white space
+WORD = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # the same, one by one
 # The line of an article header, and the lines that open a part of a judgment; both in any case.
 ARTICLE = r"(?dmiU)^[ \t]*((?:Art\.|Artykuł|§)\s*\d+[\w.]*[a-z]?\.?)\s*$"
 HEADER = r"(?dmiu)^[ \t]*(TEZA|TEZY|SENTENCJA|OSNOWA|W IMIENIU RZECZYPOSPOLITEJ POLSKIEJ|UZASADNIENIE|MOTYWY ROZSTRZYGNIĘCIA)[ \t]*$"
@@ -110,24 +112,40 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
 def sentence_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Sentences and paragraphs joined to chunks of at most ``size`` words; each begins with the last ``overlap`` words of the one before.
 
-    A sentence is never cut: one of more than ``size`` words is a chunk, behind the carried words. Empty chunks go."""
-    words = lambda s: F.filter(F.split(s, f"{SPACE}+"), lambda w: w != "")
-    sentences = F.split(text, rf"(?<=[.!?]){SPACE}+|\n\n+")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(False).alias("open"), F.lit(0).alias("n"))
+    A sentence is never cut: one of more than ``size`` words is a chunk, behind the carried words. Empty chunks go.
 
-    def step(acc: Column, sentence: Column) -> Column:
-        n = F.size(words(sentence))
-        full = acc["open"] & (acc["n"] + n > size)
-        carried = F.slice(words(acc["now"]), F.greatest(F.size(words(acc["now"])) - overlap, F.lit(0)) + 1, F.lit(overlap))
-        now = F.when(full, F.concat(F.array_join(carried, " "), F.lit(" "), sentence))
+    Only numbers of words are folded: carried words are the last words of the text before the chunk's first sentence."""
+    sentences = F.split(text, rf"{SPACE}(?<=[.!?][\s\S]){SPACE}*|\n\n+")
+    counts = lambda parts: F.transform(parts, lambda s: F.regexp_count(s, F.lit(f"{WORD}+")))
+    start = F.struct(F.array().cast("array<struct<first: int, before: int>>").alias("done"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("all"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["at"] > 0) & (acc["n"] + n > size)
+        opened = F.struct(acc["at"].alias("first"), acc["all"].alias("before"))
         return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
-            now.when(acc["open"], F.concat(acc["now"], F.lit(" "), sentence)).otherwise(sentence).alias("now"),
-            F.lit(True).alias("open"),
-            (F.when(full, F.size(carried)).otherwise(acc["n"]) + n).alias("n"),
+            F.when(full, F.array_append(acc["done"], opened)).otherwise(acc["done"]).alias("done"),
+            (acc["at"] + 1).alias("at"),
+            (F.when(full, F.least(acc["n"], F.lit(overlap))).otherwise(acc["n"]) + n).alias("n"),
+            (acc["all"] + n).alias("all"),
         )
 
-    return F.filter(F.transform(F.aggregate(sentences, start, step, lambda acc: F.array_append(acc["done"], acc["now"])), stripped), lambda c: c != "")
+    def chunks(parts: Column, words: Column, breaks: Column) -> Column:
+        """Chunk k has the sentences from break k - 1 to before break k."""
+
+        def chunk(first: Column, before: Column, end: Column) -> Column:
+            own = F.array_join(F.slice(parts, first + 1, end - first), " ")
+            carried = F.slice(words, F.greatest(before - overlap, F.lit(0)) + 1, F.least(before, F.lit(overlap)))
+            return F.when(first == 0, own).otherwise(F.concat(F.array_join(carried, " "), F.lit(" "), own))
+
+        rest = F.transform(breaks, lambda b, k: chunk(b["first"], b["before"], F.coalesce(F.get(breaks, k + 1)["first"], F.size(parts))))
+        head = chunk(F.lit(0), F.lit(0), F.coalesce(F.get(breaks, F.lit(0))["first"], F.size(parts)))
+        return F.filter(F.transform(F.concat(F.array(head), rest), lambda c: F.btrim(c, F.lit(SPACES))), lambda c: c != "")
+
+    # each made once, as the element of an array, however often it is used
+    once = lambda column, use: F.element_at(F.transform(F.array(column), use), 1)
+    words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    made = once(sentences, lambda s: once(words, lambda w: once(F.aggregate(counts(s), start, step, lambda acc: acc["done"]), lambda b: chunks(s, w, b))))
+    return F.when(text.isNotNull(), made)
 
 
 def word_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:

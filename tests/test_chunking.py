@@ -62,3 +62,28 @@ def test_titles_of_judgments_and_defaults_of_acts(spark):
     acts = spark.createDataFrame([("a", None, "2001", None, None, None, None), ("b", "T", None, "", "3", "u", "s")], "id string, title string, year string, publisher string, pos string, url string, status string")
     got = acts.select(*(c.alias(n) for n, c in readers.act_columns().items())).orderBy("id").collect()
     assert [(r.title, r.publisher, r.status) for r in got] == [("", "WDU", ""), ("T", "", "s")]
+
+
+def test_sentence_chunks_fold_numbers_only(spark):
+    rng = random.Random(8)
+    texts = ["", " ", "a", None, "x" * 9, *("".join(rng.choice(["a", "b.", "c!", " ", "  ", "\n\n", "\u2003", " d e f g"]) for _ in range(90)) for _ in range(60))]
+    ws = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+    def plain(text, size, overlap):
+        out, now, n = [], None, 0
+        words = lambda s: [w for w in re.split(f"{ws}+", s) if w]
+        for s in re.split(rf"(?<=[.!?]){ws}+|\n\n+", text):
+            if now is not None and n + len(words(s)) > size:
+                out.append(now)
+                carried = words(now)[-overlap:]
+                now, n = " ".join(carried) + " " + s, len(carried) + len(words(s))
+            else:
+                now, n = s if now is None else now + " " + s, n + len(words(s))
+        return [c for c in (re.sub(rf"^{ws}+|{ws}+\Z", "", c) for c in [*out, now]) if c]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for size, overlap in ((12, 5), (6, 8), (3, 1)):
+        got = dict(df.select("i", C.sentence_chunks(F.col("t"), size, overlap)).collect())
+        assert got == {i: None if t is None else plain(t, size, overlap) for i, t in enumerate(texts)}
+    plan = df.select(C.sentence_chunks(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "now" not in plan  # no text is built up in the fold
