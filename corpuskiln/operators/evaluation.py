@@ -54,6 +54,6 @@ def report(compared: DataFrame, ours: str, other: str) -> DataFrame:
     a, b = F.col(f"{ours}_fact_rate"), F.col(f"{other}_fact_rate")
     means = [F.round(F.avg(f"{run}_{c}"), 4).alias(f"{run}_avg_{c}") for run in (ours, other) for c in ("top_score", "keyword_rate", "fact_rate")]
     one = compared.agg(F.count("*").alias("n_questions"), *means, F.count_if(a > b).alias("wins"), F.count_if(a < b).alias("losses"), F.count_if(a == b).alias("ties"))
-    percent = lambda c: F.concat(F.format_string("%.0f", 100 * F.col(c)), F.lit("%"))
+    percent = lambda c: F.concat(F.bround(100 * F.col(c)).cast("long").cast("string"), F.lit("%"))  # noqa: E731  # halves go to the even number, as printf has it
     verdict = F.concat(F.format_string("W%d L%d T%d  (", "wins", "losses", "ties"), percent(f"{ours}_avg_fact_rate"), F.lit(" vs "), percent(f"{other}_avg_fact_rate"), F.lit(")"))
     return one.withColumn("verdict", verdict)
