@@ -9,12 +9,14 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two do
 3. Rarest shingles first (number of places that hold it, then hash: one total order), linked classes share one of their
    first ``n - ceil(0.75 n) + 1`` shingles. Of those, the inverted lists of two or more classes count. The class of a list
    with the smallest set is its hub; a hub and the classes of all its lists make a star, so that every pair to look at lies
-   in a star.
+   in a star. What two sets share is at most the shared part of either, which bounds the size of a set that a class can
+   link with; a class that cannot link with a set of the hub's size or more is left out of the star.
 4. Every class is searched for among the hubs of its stars, and linked classes are joined to components.
 5. A star whose classes still are of several components is searched whole: the classes outside its largest component
    against all others, in blocks of bounded size. Inside a component nothing is compared.
 
-Searches run in index blocks: a block holds inverted lists of its classes; a query merges its short lists with a heap,
+Searches run in index blocks: a block holds inverted lists of its classes; a query first tells by sizes and components
+which classes it can still link with, and ends where there are none. Then it merges its short lists by counting,
 probes the long lists by binary search (DivideSkip), keeps classes that reach the required number of occurrences, and
 confirms each by the exact inequality. Blocks give only spanning links. Exchanges carry a row for each list entry, pair of
 star and class, or class of a block; a large star is spread over blocks by class.
@@ -25,7 +27,6 @@ is the one shingle; repeated rows and ties fall into one class; an empty table g
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -61,12 +62,12 @@ def shingle_features(width: int = WIDTH) -> Extract:
 
 BLOCK = 2048  # classes of a block
 
-_ENTRIES = pa.schema([("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+_ENTRIES = pa.schema([("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("most", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inverted-list entries of the rarest shingles of each class (cls, n, m, v)."""
+    """Inverted-list entries of the rarest shingles of each class (cls, n, m, v), with the size of the largest set that it can link with."""
     for b in batches:
         for lo in range(0, b.num_rows, 4096):
             cls, n, m, v = b.slice(lo, 4096).columns
@@ -74,37 +75,34 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # shingles that no other class has come first in the order and lead nowhere
             k = np.clip((n + (-NUM * n // DEN) + 1) - (n - m), 0, m)
             h = [u64(x)[:y] for x, y in zip(v.to_pylist(), k.tolist(), strict=True)]
-            yield batch(_ENTRIES, h=as_long(np.concatenate(h)), cls=np.repeat(cls.to_numpy(), k), n=np.repeat(n, k))
+            yield batch(_ENTRIES, h=as_long(np.concatenate(h)), cls=np.repeat(cls.to_numpy(), k), n=np.repeat(n, k), most=np.repeat((NUM + DEN) * m // NUM - n, k))
 
 
 def stars(sets: DataFrame) -> DataFrame:
     """(hub, hub_n, cls, n): every class of an inverted list with the list's class of the smallest set."""
-    entries = sets.select("cls", "n", "m", "v").mapInArrow(_entries, "h long, cls long, n long")
+    entries = sets.select("cls", "n", "m", "v").mapInArrow(_entries, "h long, cls long, n long, most long")
     hubs = entries.groupBy("h").agg(F.min(F.struct("n", "cls")).alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("top")).filter("low <> top")
     pairs = entries.join(hubs.select("h", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")), "h")
-    return pairs.filter("cls <> hub").select("hub", "hub_n", "cls", "n").distinct()
+    return pairs.filter("cls <> hub and hub_n <= most").select("hub", "hub_n", "cls", "n").distinct()
 
 
 # ---- search in blocks ----------------------------------------------------------------------------------------------
 
 
-def divide_skip(query: np.ndarray, need: int, lists: dict[int, np.ndarray], wanted=None) -> tuple[np.ndarray, np.ndarray]:
-    """Members that occur on at least ``need`` of the query's lists, and how often: the short lists are merged by a heap,
+def divide_skip(query: np.ndarray, need: int, lists: dict[int, np.ndarray], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Members that occur on at least ``need`` of the query's lists, and how often: the short lists are merged by counting,
     candidates of the merge are probed in the long lists by binary search, and leave as soon as they cannot reach the
-    number any more. ``wanted`` drops candidates after the merge."""
+    number any more. ``wanted`` (true or false for each member) drops candidates after the merge."""
     none = np.zeros(0, dtype=np.int64)
     own = sorted((lists[h] for h in query.tolist() if h in lists), key=len)
     if len(own) < need:
         return none, none
     n_long = min(need - 1, int(need / (0.01 * math.log2(len(own[-1]) + 1) + 1)))
     short, long_ = own[: len(own) - n_long], own[len(own) - n_long :]
-    merged = np.fromiter(heapq.merge(*(x.tolist() for x in short)), dtype=np.int64)
-    lo, hi = segments(merged)
-    good = hi - lo >= need - n_long
-    cand, count = merged[lo[good]], (hi - lo)[good]
-    if wanted is not None and len(cand):
-        good = wanted(cand)
-        cand, count = cand[good], count[good]
+    count = np.bincount(np.concatenate(short))
+    good = count >= max(1, need - n_long)
+    cand = np.flatnonzero(good if wanted is None else good & wanted[: len(good)])
+    count = count[cand]
     for left, one in enumerate(long_):
         if len(cand) <= 4:
             break
@@ -129,40 +127,38 @@ def divide_skip(query: np.ndarray, need: int, lists: dict[int, np.ndarray], want
 
 
 class Block:
-    """The inverted lists of a block's indexed classes, and which component each class is known to be in."""
+    """The inverted lists of a block's indexed classes, and which component each class is known to be in.
+
+    ``roots`` are the roots of all classes of the block, queries and indexed ones."""
 
-    def __init__(self, cls: np.ndarray, n: np.ndarray, root: np.ndarray, v: list[bytes]):
+    def __init__(self, cls: np.ndarray, n: np.ndarray, root: np.ndarray, v: list[bytes], roots: np.ndarray):
         self.cls, self.n = cls, n
-        self.parent = {r: r for r in root.tolist()}
-        self.root = root.tolist()
+        known = np.unique(roots)
+        self.number = {r: i for i, r in enumerate(known.tolist())}
+        self.comp = np.arange(len(known))  # of each root, as far as this block knows
+        self.root = np.searchsorted(known, root)
         h = [u64(x) for x in v]
-        item = np.repeat(np.arange(len(h)), [len(x) for x in h])
+        self.m = np.array([len(x) for x in h], dtype=np.int64)
+        item = np.repeat(np.arange(len(h)), self.m)
         h = np.concatenate(h) if h else np.zeros(0, dtype=np.uint64)
         order = np.argsort(h, kind="stable")
         lo, hi = segments(h[order])
         item = item[order]
-        self.lists = {int(k): item[x:y] for k, x, y in zip(h[order][lo], lo, hi, strict=True)}
-
-    def comp(self, root: int) -> int:
-        """The component of a root, as far as this block knows."""
-        p = self.parent.setdefault(root, root)
-        while p != self.parent[p]:
-            self.parent[p] = p = self.parent[self.parent[p]]
-        return p
+        self.lists = {k: item[x:y] for k, x, y in zip(h[order][lo].tolist(), lo.tolist(), hi.tolist(), strict=True)}
 
     def links(self, n: int, root: int, v: np.ndarray) -> list[int]:
         """Indexed classes of other components that are linked with a query, one for each component."""
-        own = self.comp(root)
-
-        def near(c: np.ndarray) -> np.ndarray:
-            fit = (DEN * self.n[c] >= NUM * n) & (DEN * n >= NUM * self.n[c])
-            return fit & np.array([self.comp(self.root[i]) != own for i in c.tolist()], dtype=bool)
-
-        cand, common = divide_skip(v, -(-NUM * n // DEN), self.lists, near)
+        own = self.number[root]
+        most = np.minimum(self.m, len(v))  # of what is shared
+        near = (DEN * self.n >= NUM * n) & (DEN * n >= NUM * self.n) & (DEN * most >= NUM * (n + self.n - most)) & (self.comp[self.root] != self.comp[own])
+        if not near.any():
+            return []
+        both = n + int(self.n[near].min())
+        cand, common = divide_skip(v, -(-NUM * both // (NUM + DEN)), self.lists, near)
         out = []
         for j in cand[DEN * common >= NUM * (n + self.n[cand] - common)].tolist():
-            if (other := self.comp(self.root[j])) != self.comp(root):
-                self.parent[other] = self.comp(root)
+            if (other := self.comp[self.root[j]]) != self.comp[own]:
+                self.comp[self.comp == other] = self.comp[own]
                 out.append(int(self.cls[j]))
         return out
 
@@ -173,7 +169,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, n, root, query, indexed = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 5, 6))
         v = rows.column(4)
         i = np.flatnonzero(indexed)
-        block = Block(cls[i], n[i], root[i], v.take(pa.array(i)).to_pylist())
+        block = Block(cls[i], n[i], root[i], v.take(pa.array(i)).to_pylist(), root)
         out = [(int(cls[k]), other) for k in np.flatnonzero(query).tolist() for other in block.links(int(n[k]), int(root[k]), u64(v[k].as_py()))]
         yield batch(_PAIRS, a=[x for x, _ in out], b=[y for _, y in out])
 

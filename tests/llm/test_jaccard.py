@@ -113,3 +113,35 @@ def test_equals_sql(spark, sf):
         want = con.sql(ORACLE[name])
         columns = want.columns
         assert sorted(map(tuple, QUERIES[name](spark, sf).select(*columns).collect())) == sorted(want.fetchall()), name
+
+
+def test_classes_that_can_link_with_none_are_left_out(spark):
+    """Copies of one text with too many words of their own share its rarest shingles, and are neither in a star nor searched for."""
+    import random
+
+    from corpuskiln.llm.shared import shared_features
+
+    rng = random.Random(2)
+    data = []
+    for i in range(60):
+        w = [f"t{k}" for k in range(300)]
+        for at in rng.sample(range(0, 300, 5), 1 if i < 12 else 11):
+            w[at] = f"own{i}_{at}"
+        data.append((i, " ".join(w)))
+    _, sets = shared_features(table(spark, data), jaccard.shingle_features(), lambda m, n: 100 * m >= 75 * n)
+    sets = sets.selectExpr("*", "monotonically_increasing_id() AS cls").localCheckpoint()
+    assert sets.filter("7 * m < 6 * n").count() > 20
+    far = sets.filter("7 * m < 6 * n").select("cls").join(jaccard.stars(sets), "cls")
+    assert far.count() == 0
+    got = jaccard.jaccard_components(table(spark, data)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(data)
+
+
+def test_a_query_that_can_link_with_none_is_not_searched_for(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "divide_skip", None)
+    v = np.arange(80, dtype=np.uint64)
+    block = jaccard.Block(np.array([5]), np.array([100]), np.array([5]), [v.tobytes()], np.array([5, 6]))
+    assert block.links(100, 6, v) == []  # at most 80 of 120
+    assert block.links(100, 5, np.arange(100, dtype=np.uint64)) == []  # the same component
