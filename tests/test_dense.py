@@ -116,3 +116,23 @@ def test_rows_meet_cells_in_strips(spark, tmp_path, monkeypatch):
     index = DenseIndex.build(spark.createDataFrame(rows, POINT), f"{tmp_path}/index", cell_rows=10)
     queries = [(i, v) for i, v, _ in rows[:12]]
     assert _found(index.search(spark.createDataFrame(queries, QUERY), 5)) == _brute(rows, queries, 5)
+
+
+def test_tuning_compares_all_pairs_once(spark, data, index, monkeypatch):
+    """What tuning counts for its probes is what a search with as many probes finds, and a smaller number is too few."""
+    asked = spark.createDataFrame(data[1][:-1], QUERY)  # the last one's last hits are equal rows
+    pairs, calls = S.similar_pairs, []
+    monkeypatch.setattr(S, "similar_pairs", lambda *a, **b: calls.append(a) or pairs(*a, **b))
+    probes, found, n = index.tuned(asked, 5, least=0.99)
+    assert len(calls) == 1
+    assert probes > 2 and found >= 0.99 * n
+    assert (found, n) == index.recall(asked, 5, probes)
+    assert index.recall(asked, 5, probes // 2)[0] < 0.99 * n
+
+
+def test_tuning_of_empty_and_zero_tables(spark, tmp_path):
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], QUERY)
+    none = DenseIndex.build(spark.createDataFrame([], POINT), str(tmp_path / "none"))
+    assert none.tuned(asked, 3)[1:] == (0, 0)
+    zero = DenseIndex.build(spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [0.0, 0.0], 0)], POINT), str(tmp_path / "zero"))
+    assert zero.tuned(asked, 3) == (1, 4, 4)
